@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellwerk.llm import bpe, canonical, cooccur
+from stellwerk.llm import bpe, canonical, cooccur, residue
 from stellwerk.sources.tables import table
 
 
@@ -26,6 +26,20 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return v.filter("city_id = 0").groupBy("location").agg(F.countDistinct("job_id").alias("n_jobs"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "jobs")).select("job_id", "field_name").distinct()
+
+
+def p6_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Recurring residue messages with kind, rows and whether several sources deliver them."""
+    return residue.recurring_messages(table(spark, d, "jobs"))
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Postings with residue fields set to null."""
+    return residue.without_residue(table(spark, d, "jobs", "job_id", "source", "location", "description").distinct())
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return cooccur.frequent_together(table(spark, d, "job_skills"), table(spark, d, "dim_skill"))
 
@@ -39,7 +53,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_fact_job, p3_unmatched, p7_found, p7_pairs, p8_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_fact_job, p3_unmatched, p6_found, p6_messages, p6_clean, p7_found, p7_pairs, p8_ids)}
 
 SQL: dict[str, str] = {
     "p7_found": """
