@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import Row
@@ -46,3 +47,10 @@ def collect_bounded(df: DataFrame, most: int, what: str) -> list[Row]:
     if len(rows) > most:
         raise ValueError(f"{what} has more than {most} rows; it can't be sent to every executor")
     return rows
+
+
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder, and read from there: compact, column-pruned, and safe when executors are lost."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
