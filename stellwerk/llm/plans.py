@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellwerk.llm import bpe, canonical, cooccur, residue
+from stellwerk.llm import bpe, canonical, cooccur, language, residue
 from stellwerk.sources.tables import table
 
 
@@ -26,6 +26,19 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return v.filter("city_id = 0").groupBy("location").agg(F.countDistinct("job_id").alias("n_jobs"))
 
 
+def _languages(spark: SparkSession, d: str, what: Callable[..., DataFrame]) -> DataFrame:
+    return what(table(spark, d, "jobs", "job_id", "source", "source_url", "description"), table(spark, d, "manifest"), table(spark, d, "skill_gold_v1"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d, language.wrong_labels)
+
+
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every paragraph of every posting, and of the posting."""
+    return _languages(spark, d, language.all_paragraphs)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "jobs")).select("job_id", "field_name").distinct()
 
@@ -53,7 +66,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_fact_job, p3_unmatched, p6_found, p6_messages, p6_clean, p7_found, p7_pairs, p8_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_fact_job, p3_unmatched, p4_found, p4_paragraphs, p6_found, p6_messages, p6_clean, p7_found, p7_pairs, p8_ids)}
 
 SQL: dict[str, str] = {
     "p7_found": """
