@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellwerk.llm import bpe, canonical, cooccur, language, residue
+from stellwerk.llm import bpe, canonical, cooccur, language, pii, residue
 from stellwerk.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_items(table(spark, d, "jobs", "job_id", *pii.FIELDS))
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Postings whose personal items are typed placeholders."""
+    return pii.redact(table(spark, d, "jobs", "job_id", *pii.FIELDS).distinct())
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.typed_places(table(spark, d, "jobs", "job_id", "location"), table(spark, d, "city_reference"))
 
@@ -66,7 +75,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_fact_job, p3_unmatched, p4_found, p4_paragraphs, p6_found, p6_messages, p6_clean, p7_found, p7_pairs, p8_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_fact_job, p3_unmatched, p4_found, p4_paragraphs, p6_found, p6_messages, p6_clean, p7_found, p7_pairs, p8_ids)}
 
 SQL: dict[str, str] = {
     "p7_found": """
