@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellwerk.llm import bpe, canonical, cooccur, language, pii, residue
+from stellwerk.llm import bpe, canonical, cooccur, language, pii, residue, toxic
 from stellwerk.sources.tables import table
 
 
@@ -75,7 +75,22 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_fact_job, p3_unmatched, p4_found, p4_paragraphs, p6_found, p6_messages, p6_clean, p7_found, p7_pairs, p8_ids)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return toxic.found(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    docs = table(spark, d, "documents")
+    return toxic.scored(docs, toxic.fitted(docs, table(spark, d, "doc_labels")))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of every source."""
+    return toxic.rates(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_fact_job, p3_unmatched, p4_found, p4_paragraphs, p6_found, p6_messages, p6_clean, p7_found, p7_pairs, p8_ids, p10_found, p10_scores, p10_rates)}
 
 SQL: dict[str, str] = {
     "p7_found": """
