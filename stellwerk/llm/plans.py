@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellwerk.llm import bpe, canonical, cooccur, language, pii, residue, toxic
+from stellwerk.llm import bpe, canonical, consensus, cooccur, language, mixing, pii, residue, toxic
 from stellwerk.sources.tables import table
 
 
@@ -48,6 +48,20 @@ def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d, language.all_paragraphs)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(table(spark, d, "annotations"), table(spark, d, "adjudicated")).select("job_id", "skill_id", "label").distinct()
+
+
+def p5_reliability(spark: SparkSession, d: str) -> DataFrame:
+    """Hit and false-alarm rates of every annotator."""
+    return consensus.reliability(table(spark, d, "annotations"))
+
+
+def p5_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Chance-corrected agreement of every pair of annotators."""
+    return consensus.agreement(table(spark, d, "annotations"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "jobs")).select("job_id", "field_name").distinct()
 
@@ -75,6 +89,16 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
 
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached shares of every source."""
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_emitted(spark: SparkSession, d: str) -> DataFrame:
+    """Every emitted copy of a document."""
+    return mixing.emitted(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return toxic.found(table(spark, d, "documents"), table(spark, d, "doc_labels"))
 
@@ -90,7 +114,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxic.rates(table(spark, d, "documents"), table(spark, d, "doc_labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_fact_job, p3_unmatched, p4_found, p4_paragraphs, p6_found, p6_messages, p6_clean, p7_found, p7_pairs, p8_ids, p10_found, p10_scores, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_fact_job, p3_unmatched, p4_found, p4_paragraphs, p5_found, p5_reliability, p5_agreement, p6_found, p6_messages, p6_clean, p7_found, p7_pairs, p8_ids, p9_shares, p9_emitted, p10_found, p10_scores, p10_rates)}
 
 SQL: dict[str, str] = {
     "p7_found": """
