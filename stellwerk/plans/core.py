@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellwerk.operators import units
+from stellwerk.plans import reports
 from stellwerk.sources.tables import table
 
 
@@ -22,5 +23,5 @@ def p2_amounts(spark: SparkSession, d: str) -> DataFrame:
     return units.to_common_unit(table(spark, d, "jobs"), table(spark, d, "unit_rates")).distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_amounts)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_amounts)} | reports.QUERIES
+SQL: dict[str, str] = dict(reports.SQL)
