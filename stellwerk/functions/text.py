@@ -85,7 +85,7 @@ def guess_language(text: Column) -> Column:
 def first_location(about: Column) -> Column:
     """A location given as a JSON list (its first entry), a JSON object (location or city), or text that is no JSON; other JSON gives null."""
     s = F.trim(about)
-    scalar = s.rlike(r'^(?:-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|"[^"\\]*")$')
+    scalar = s.rlike(r'^(?:-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity|"[^"\\]*")$')
     whole = lambda a, b: s.startswith(a) & s.endswith(b) & F.try_parse_json(s).isNotNull()
     named = F.coalesce(F.get_json_object(s, "$.location"), F.get_json_object(s, "$.city"))
     return F.when(whole("[", "]"), F.get_json_object(s, "$[0]")).when(whole("{", "}"), named).when(~scalar, about)
