@@ -74,36 +74,42 @@ def fit_null(items: np.ndarray, sizes: np.ndarray, baskets: np.ndarray, rounds:
     return xy / (1 + xy)
 
 
-def upper_tail(observed: int, chances: np.ndarray, times: np.ndarray) -> float:
-    """P(X >= observed) for a sum of Bernoulli variables, `times` of each chance: Lugannani-Rice with the lattice correction.
+def upper_tails(observed: np.ndarray, chances: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """P(X >= observed) for sums of Bernoulli variables, row by row: chances[row, class], `times` variables of each class.
 
-    Exact at observed <= 0 (1) and beyond the number of variables (0); at the mean a normal value is used.
+    Lugannani-Rice with the lattice correction; exact at observed <= 0 (1), at the number of variables, and beyond it (0);
+    near the mean a continuity-corrected normal tail.
     """
-    possible = times[(chances > 0)].sum()
-    if observed <= 0:
-        return 1.0
-    if observed > possible:
-        return 0.0
-    p, w = chances[(chances > 0) & (times > 0)], times[(chances > 0) & (times > 0)]
-    if observed == possible:
-        return float(np.exp((w * np.log(p)).sum()))
-    low, high = -60.0, 60.0
-    for _ in range(200):
+    k = np.asarray(observed, float)[:, None]
+    p = np.clip(np.asarray(chances, float), 0.0, 1 - 1e-12)
+    w = np.asarray(times, float)[None]
+    possible = (w * (p > 0)).sum(1)
+    low, high = np.full(len(p), -60.0), np.full(len(p), 60.0)
+    for _ in range(70):
         s = (low + high) / 2
-        q = p * math.exp(s) / (1 - p + p * math.exp(s))
-        if (w * q).sum() < observed:
-            low = s
-        else:
-            high = s
-    q = p * math.exp(s) / (1 - p + p * math.exp(s))
-    k0, k2 = float((w * np.log1p(p * math.expm1(s))).sum()), float((w * q * (1 - q)).sum())
-    if abs(s) < 1e-4:  # near the mean: continuity-corrected normal tail
-        mean, var = float((w * p).sum()), float((w * p * (1 - p)).sum())
-        return 0.5 * math.erfc((observed - 0.5 - mean) / math.sqrt(2 * var))
-    root = math.copysign(math.sqrt(max(0.0, 2 * (s * observed - k0))), s)
-    u = (1 - math.exp(-s)) * math.sqrt(k2)
-    tail = 0.5 * math.erfc(root / math.sqrt(2)) + math.exp(-root * root / 2) / math.sqrt(2 * math.pi) * (1 / u - 1 / root)
-    return min(1.0, max(0.0, tail))
+        e = p * np.exp(s)[:, None]
+        less = (w * e / (1 - p + e)).sum(1) < k[:, 0]
+        low, high = np.where(less, s, low), np.where(less, high, s)
+    e = p * np.exp(s)[:, None]
+    q = e / (1 - p + e)
+    k0, k2 = (w * np.log1p(p * np.expm1(s)[:, None])).sum(1), (w * q * (1 - q)).sum(1)
+    mean, var = (w * p).sum(1), (w * p * (1 - p)).sum(1)
+    erfc = np.frompyfunc(math.erfc, 1, 1)
+    half = lambda x: 0.5 * erfc(x / math.sqrt(2)).astype(float)
+    with np.errstate(all="ignore"):
+        root = np.sign(s) * np.sqrt(np.maximum(0, 2 * (s * k[:, 0] - k0)))
+        u = -np.expm1(-s) * np.sqrt(k2)
+        tail = half(root) + np.exp(-root * root / 2) / math.sqrt(2 * math.pi) * (1 / u - 1 / root)
+        tail = np.where(np.abs(s) < 1e-4, half((k[:, 0] - 0.5 - mean) / np.sqrt(var)), tail)
+        every = np.exp((w * np.where(p > 0, np.log(np.where(p > 0, p, 1)), 0)).sum(1))
+    out = np.clip(np.nan_to_num(tail, nan=1.0), 0, 1)
+    out = np.where(k[:, 0] == possible, every, out)
+    return np.where(k[:, 0] <= 0, 1.0, np.where(k[:, 0] > possible, 0.0, out))
+
+
+def upper_tail(observed: int, chances: np.ndarray, times: np.ndarray) -> float:
+    """One row of `upper_tails`."""
+    return float(upper_tails(np.array([observed]), np.asarray(chances)[None], times)[0])
 
 
 def false_discovery(p: np.ndarray, tests: int) -> np.ndarray:
@@ -142,11 +148,13 @@ def associated_pairs(df: DataFrame, items: DataFrame, key: str = "job_id", ids:
     n_all = int(sizes.sum())
     present = np.flatnonzero(sizes)
     chance = fit_null(single, present, sizes[present]) if n_all else np.zeros((0, width))
+    at_a, at_b = np.nonzero(np.triu(counts[:width, :width], 1))
     rows = []
-    for a, b in zip(*np.nonzero(np.triu(counts[:width, :width], 1))):
-        n = int(counts[a, b])
-        both = chance[:, a] * chance[:, b]
-        rows.append([names[a], names[b], n, int(single[a]), int(single[b]), n_all, n * n_all / (int(single[a]) * int(single[b])), float((both * sizes[present]).sum()), upper_tail(n, both, sizes[present].astype(float))])
+    for i in range(0, len(at_a), 4096):
+        a, b = at_a[i : i + 4096], at_b[i : i + 4096]
+        both, n, w = (chance[:, a] * chance[:, b]).T, counts[a, b], sizes[present].astype(float)
+        for x, y, c, e, p in zip(a, b, n, both @ w, upper_tails(n, both, w)):
+            rows.append([names[x], names[y], int(c), int(single[x]), int(single[y]), n_all, int(c) * n_all / (int(single[x]) * int(single[y])), float(e), float(p)])
     q = false_discovery(np.array([r[8] for r in rows]), max(1, width * (width - 1) // 2)) if rows else []
     schema = "skill_a string, skill_b string, n_ab bigint, n_a bigint, n_b bigint, n_all bigint, lift double, expected double, p_value double, q_value double"
     return spark.createDataFrame([(*r, float(v)) for r, v in zip(rows, q)], schema)
