@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 CONFIRMED, SAMPLE = 4000, 6_000
 BITS = 18
-THRESHOLD = 0.14
+THRESHOLD = 0.09
 #: Examples that any corpus' positives are joined by.
 EXAMPLES = """
 Du bist ein Idiot. Was für ein Vollidiot schreibt so einen Müll? Halt endlich die Fresse, du Penner. Verpiss dich, du Arschloch! Du dummes Schwein. Du bist echt zum Kotzen. Du widerlicher Mistkerl. Der Chef ist ein hirnloser Trottel. So ein dämliches Miststück. Kratz ab, du Versager. Geh sterben. Ich bring dich um. Ich brech dir alle Knochen. Ich weiß, wo du wohnst. Dich vermisst keiner. Fick dich. Du Wichser. Du Drecksack.
@@ -165,7 +165,8 @@ class Classifier:
 
         bad, good, all_rows = rows(confirmed), rows(cleared), rows(sample)
         examples = [features(s) for s in sentences(EXAMPLES)]
-        share = max(0.01, len(confirmed) / max(1, len(confirmed) + len(cleared))) if confirmed or cleared else 0.03
+        # rate of toxic documents among rated ones, drawn towards 3 % where few are rated
+        share = (len(confirmed) + 0.03 * 50) / (len(confirmed) + len(cleared) + 50)
         fine = {s for ss in good for s in ss}
         pool = [s for ss in all_rows for s in ss] + [s for ss in good for s in ss]
         unlabelled = Rows([known[s] for s in pool])
