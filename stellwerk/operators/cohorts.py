@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stellwerk.session import collect_bounded
+
+#: Skills that a taxonomy may have in a weekly grid.
+MOST_SKILLS = 20_000
+
 
 def week(date: str | Column) -> Column:
     return F.to_date(F.date_trunc("week", date))
@@ -47,7 +52,7 @@ def share_deltas(weekly: DataFrame, skills: DataFrame, taxonomy: DataFrame, n: i
     direction follows the rounded delta. Weeks x taxonomy is bounded by both lists.
     """
     seen = weekly.select("week_start", F.col("postings").alias("total")).withColumn("compared_with_week", F.lag("week_start").over(Window.orderBy("week_start"))).withColumn("total_before", F.lag("total").over(Window.orderBy("week_start")))
-    grid = seen.filter("compared_with_week is not null").withColumn("skill_id", F.explode(F.array(*[F.lit(r[0]) for r in taxonomy.select("skill_id").distinct().orderBy("skill_id").collect()])))
+    grid = seen.filter("compared_with_week is not null").withColumn("skill_id", F.explode(F.array(*[F.lit(r[0]) for r in collect_bounded(taxonomy.select("skill_id").distinct().orderBy("skill_id"), MOST_SKILLS, "the taxonomy")])))
     now = skills.select("week_start", "skill_id", F.col("postings").alias("current_postings"))
     before = skills.select(F.col("week_start").alias("compared_with_week"), "skill_id", F.col("postings").alias("previous_postings"))
     g = grid.join(now, ["week_start", "skill_id"], "left").join(before, ["compared_with_week", "skill_id"], "left").fillna(0, ["current_postings", "previous_postings"])

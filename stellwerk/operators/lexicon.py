@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellwerk.functions import text
+from stellwerk.session import collect_bounded
 
 #: Entries an alias table may have to be sent to every executor.
 MOST_ALIASES = 200_000
@@ -95,7 +96,7 @@ def matches(df: DataFrame, aliases: DataFrame, key: str, value: Column) -> DataF
     alias table (broadcast: its size is checked on making). Only hits are shuffled, to find the longest of each start.
     """
     spark = df.sparkSession
-    rows = aliases.collect()  # bounded by MOST_ALIASES
+    rows = collect_bounded(aliases, MOST_ALIASES, "the alias table")
     longest = max((r["n"] for r in rows), default=1)
     t = df.select(F.col(key).alias("key"), text.tokens(value).alias("raw"))
     t = t.withColumn("low", F.transform("raw", text.fold))

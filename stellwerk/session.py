@@ -29,6 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. A folder of this machine is used only where the setting is missing."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stellwerk-")
     return folder
 
