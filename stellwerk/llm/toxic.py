@@ -212,7 +212,13 @@ def fitted(documents: DataFrame, labels: DataFrame) -> Classifier:
     parts = parts.unionByName(some(documents.select("doc_id"), SAMPLE).withColumn("part", F.lit("any")))
     rows = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(parts), "doc_id").select("part", "doc_id", "text").collect()
     rows = sorted(set(map(tuple, rows)))
-    return Classifier.fit(*([t for p, _, t in rows if p == kind] for kind in ("bad", "good", "any")))
+    return _fit(*(tuple(t for p, _, t in rows if p == kind) for kind in ("bad", "good", "any")))
+
+
+@lru_cache(maxsize=2)
+def _fit(confirmed: tuple[str, ...], cleared: tuple[str, ...], sample: tuple[str, ...]) -> Classifier:
+    """The classifier of these texts, fitted once in a driver process."""
+    return Classifier.fit(list(confirmed), list(cleared), list(sample))
 
 
 def scored(documents: DataFrame, classifier: Classifier, kept: tuple[str, ...] = ()) -> DataFrame:
