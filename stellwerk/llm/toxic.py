@@ -16,6 +16,7 @@ texts are scored whole; an empty table gives an empty result; extra columns are
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -78,14 +79,20 @@ def _word(w: str) -> tuple[int, ...]:
     return tuple(out)
 
 
-def features(sentence: str) -> np.ndarray:
+def places(sentence: str) -> set[int]:
     """Distinct hashed features of a normalised sentence."""
     words = [_word(w) for w in _WORD.findall(sentence)]
     out = [f for w in words for f in w]
     heads = [w[0] for w in words]
     out += [(a * 31 + b * 17 + 7) & 0xFFFFFFFF for a, b in zip(heads, heads[1:])]
     out += [(a * 131 + b * 37 + 11) & 0xFFFFFFFF for a, b in zip(heads, heads[2:])]
-    return np.unique(np.array(out, np.int64) & ((1 << BITS) - 1))
+    mask = (1 << BITS) - 1
+    return {f & mask for f in out}
+
+
+def features(sentence: str) -> np.ndarray:
+    """The places in order, as an array."""
+    return np.array(sorted(places(sentence)), np.int64)
 
 
 def sentences(text: str | None) -> list[str]:
@@ -142,13 +149,26 @@ def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, steps: int = 160, r
 class Classifier:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.astype(np.float32), float(bias)
-
-    def score_sentence(self, f: np.ndarray) -> float:
-        return float(self.weights[f].sum() / max(1.0, len(f)) ** 0.5) + self.bias
+        self._list: list[float] = []
+        self._seen: dict[str, float] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_list": [], "_seen": {}}
+
+    def score_sentence(self, sentence: str) -> float:
+        """Log odds of a normalised sentence; sentences of templates come again and again, so scores are kept for a while."""
+        if sentence not in self._seen:
+            if not self._list:
+                self._list = self.weights.tolist()
+            if len(self._seen) > 100_000:
+                self._seen.clear()
+            ids = places(sentence)
+            self._seen[sentence] = sum(map(self._list.__getitem__, ids)) / max(1, len(ids)) ** 0.5 + self.bias
+        return self._seen[sentence]
 
     def score(self, text: str | None) -> float:
-        best = max((self.score_sentence(features(s)) for s in sentences(text)), default=None)
-        return 0.0 if best is None else float(_sigmoid(np.array(best)))
+        best = max(map(self.score_sentence, sentences(text)), default=None)
+        return 0.0 if best is None else 1 / (1 + math.exp(-min(30.0, max(-30.0, best))))
 
     @classmethod
     def fit(cls, confirmed: list[str], cleared: list[str], sample: list[str], rounds: int = 2) -> Classifier:
