@@ -5,8 +5,9 @@ of word-shape features (shape, length class, endings and words seen in the label
 a corpus share few types; the scores of a type at the seven places of the window are one row of a matrix. A batch is one
 flat array of types: emissions are seven gathers, and Viterbi runs over thousands of lines at once, ordered by length.
 
-The model is trained once per driver process on the labelled table of `pii_table`, to which a bounded sample of postings
-(SAMPLE, those with the smallest hashes) adds fragments made of frequent words only as plain rows; then it is broadcast.
+The model is trained once per driver process on the labelled table of `pii_table` alone, then it is broadcast. Nothing is taken
+from the corpus: neither the fit nor the checks know how frequent a word is, so a name counts however many rows it signs, and
+a row's items are the same in a table of any size.
 
 Defined cases: null and empty texts hold no items and stay as they are; texts of any length are read whole, line by line;
 marks of an earlier redaction are kept; a repeated row gives equal rows, which count once; an empty table gives an empty
@@ -55,7 +56,6 @@ class Crf:
         self.endings: set[str] = set()
         self.weights = np.zeros((0, 0, 0), np.float32)
         self.moves = np.zeros((len(LABELS), len(LABELS)), np.float32)
-        self.common: set[str] = set()
         self.ids: dict[str, int] = {}
         self.types: dict[tuple, int] = {}
         self.rows: list[np.ndarray] = []
@@ -297,48 +297,12 @@ def _viterbi(e: np.ndarray, moves: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Postings that the plain fragments of the labelled table are drawn from, and how common their words must be among them.
-SAMPLE, COMMON = 1500, 0.02
-
-
-def frequent_words(texts: list[str]) -> set[str]:
-    """Words that stand in at least COMMON of the texts."""
-    seen = Counter(w for t in texts for w in set(re.findall(r"[^\W\d_]+", t)))
-    return {w for w, n in seen.items() if n >= max(5.0, COMMON * len(texts))}
-
-
-def plain_fragments(texts: list[str]) -> list[tuple[str, list]]:
-    """Runs of words that each stand in at least COMMON of the texts: no name or address is that frequent, so they are outside rows."""
-    common = frequent_words(texts)
-    runs: dict[str, None] = {}
-    for t in texts:
-        for line in t.split("\n"):
-            run: list[str] = []
-            for token in [*_TOKEN.findall(line), "\0"]:
-                core = token.strip()
-                if core and (core in common if core[0].isalpha() else (len(core) <= 2 if core[0].isdigit() else core in ".,;:!?-()•'")):
-                    run.append(token)
-                    continue
-                if sum(r.strip()[:1].isalpha() for r in run) >= 4:
-                    runs["".join(run)] = None
-                run = []
-    return [(r, []) for r in sorted(runs)][: 2 * SAMPLE]
-
-
-@lru_cache(maxsize=4)
-def trained(sample: tuple[str, ...] = ()) -> Crf:
-    """The model of the labelled table and the plain fragments of a bounded sample; trained once in a driver process."""
-    table = pii_table.rows() + plain_fragments(list(sample))
+@lru_cache(maxsize=1)
+def trained() -> Crf:
+    """The model of the labelled table; trained once in a driver process."""
+    table = pii_table.rows()
     random.Random(4).shuffle(table)
-    model = Crf().fit(table)
-    model.common = frequent_words(list(sample))
-    return model
-
-
-def sampled(df: DataFrame, key: str = "job_id", text: str = "description") -> tuple[str, ...]:
-    """At most SAMPLE texts, the same ones at every run: those with the smallest hashes."""
-    ids = [r[0] for r in df.filter(F.col(text).isNotNull()).select(key, F.xxhash64(F.col(key).cast("string")).alias("h")).distinct().orderBy("h", key).limit(SAMPLE).collect()]
-    return tuple(sorted(r[0] for r in df.filter(F.col(key).isin(ids) & F.col(text).isNotNull()).select(text).limit(2 * SAMPLE).distinct().collect())) if ids else ()
+    return Crf().fit(table)
 
 
 def plausible(kind: str, text: str) -> bool:
@@ -363,11 +327,11 @@ _BEFORE = re.compile(r"(?i)(?:steuer|idnr|tax|versicherung|svnr|sv-n|rv-n|ahv|pe
 _JOINED = {"person_name": re.compile(r"\s+(?:und|oder|and|or|et|ou|en|of|i|lub)\s+"), "email": re.compile(r"\s+(?:und|oder|and|or|et|ou|en|of|lub)\s+"), "phone": re.compile(r"\s+(?:und|oder|and|or|mobil|mobile)\s+")}
 
 
-_TITLES = {"Herr", "Herrn", "Frau", "Hr", "Fr", "Ms", "Mr", "Mrs", "Dr", "Prof", "Dipl", "Ing", "Pan", "Pani", "Mme"}
-
+def settle(text: str, start: int, end: int, kind: str, _words: set[str] = frozenset()) -> Iterator[tuple[int, int, str]]:
+    """The items of one decoded span: joined ones apart, numbers of a settled format under their kind, implausible ones out.
 
-def settle(text: str, start: int, end: int, kind: str, common: set[str]) -> Iterator[tuple[int, int, str]]:
-    """The items of one decoded span: joined ones apart, numbers of a settled format under their kind, implausible ones out."""
+    `_words` is not used: no word, however frequent, takes a span away.
+    """
     if kind == "phone" and (_IDENTITY.search(text[start:end]) or _BEFORE.search(text[max(0, start - 40) : start])):
         kind = "id_number"
     elif kind == "id_number" and re.match(r"(?:tel:?\.?\s*)?\(?[+0]\d", text[start:end]) and not _IDENTITY.search(text[start:end]) and not _BEFORE.search(text[max(0, start - 40) : start]):
@@ -381,8 +345,6 @@ def settle(text: str, start: int, end: int, kind: str, common: set[str]) -> Iter
     for a, b in parts:
         if kind == "email" and (m := re.search(r"[^\s,;:<>()]+(?:@|＠|&#64;)[\w.-]*\w", text[a:b])):
             a, b = a + m.start(), a + m.end()
-        if kind == "person_name" and any(len(w) > 1 and w in common and w not in _TITLES for w in re.findall(r"[^\W\d_]+", text[a:b])):
-            continue
         if plausible(kind, text[a:b]):
             yield a, b, kind
 
@@ -415,14 +377,14 @@ def items(model: Crf, texts: list[str | None]) -> Iterator[tuple[int, list[tuple
                 j += 1
             start = at + int(ends[i]) - len(tokens[i].lstrip())
             end = at + int(ends[j - 1])
-            found.setdefault(r, []).extend(settle(text, start, end, KINDS[kind], model.common))
+            found.setdefault(r, []).extend(settle(text, start, end, KINDS[kind]))
             i = j
     yield from sorted((r, spans) for r, spans in found.items() if spans)
 
 
 def find_items(df: DataFrame, key: str = "job_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """``key, field_name, kind, seq`` of every item, distinct. One Arrow pass; only the found items are shuffled."""
-    model = df.sparkSession.sparkContext.broadcast(trained(sampled(df, key, fields[0])))
+    model = df.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -445,7 +407,7 @@ def find_items(df: DataFrame, key: str = "job_id", fields: tuple[str, ...] = FIE
 
 def redact(df: DataFrame, key: str = "job_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """The rows with every item replaced by its typed placeholder, such as [EMAIL]; all else unchanged."""
-    model = df.sparkSession.sparkContext.broadcast(trained(sampled(df, key, fields[0])))
+    model = df.sparkSession.sparkContext.broadcast(trained())
     places = [df.columns.index(f) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

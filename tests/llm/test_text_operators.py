@@ -155,6 +155,22 @@ def test_redaction(spark, model):
     assert pii.find_items(df.limit(0)).count() == 0
 
 
+def test_a_contact_name_in_a_third_of_the_rows(spark, model):
+    """One contact signs every third posting: each mention is found and redacted, in every field."""
+    tasks = ["planen", "prüfen", "bauen", "messen", "liefern", "buchen", "testen", "montieren"]
+    rows = []
+    for i in range(90):
+        text = f"Wir suchen dich für Auftrag {i}. Du wirst {tasks[i % 8]} und {tasks[i // 8 % 8]}."
+        sign = "\nIhre Ansprechpartnerin ist Frau Svenja Berghold." if i % 3 == 0 else ""
+        rows.append((str(i), text + sign, "Kontakt: Frau Svenja Berghold" if i % 3 == 0 else None, None))
+    df = spark.createDataFrame(rows, "job_id string, description string, requirements string, benefits string")
+    signed = {str(i) for i in range(0, 90, 3)}
+    found = {(r["job_id"], r["field_name"]) for r in pii.find_items(df).filter("kind = 'person_name'").collect()}
+    assert found == {(j, f) for j in signed for f in ("description", "requirements")}
+    for r in pii.redact(df).collect():
+        assert "Berghold" not in r["description"] + (r["requirements"] or "")
+
+
 def test_settled_kinds():
     kinds = lambda t, k: [x[2] for x in pii.settle(t, 0, len(t), k, set())]
     assert kinds("756.0000.5560.24", "phone") == ["id_number"] and kinds("0174.9091.317", "id_number") == ["phone"]
