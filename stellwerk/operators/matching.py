@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,13 +75,17 @@ def gap_evidence(gap_rows: DataFrame, postings: DataFrame, taxonomy: lexicon.Tax
 def rank_queries(queries: DataFrame, sidecar: DataFrame, k: int) -> DataFrame:
     """``query_id, job_id, rank, harmonic_f1, job_skill_coverage`` of the k best postings of every query, all in one join on skills.
 
-    queries: ``query_id, candidate_skill_ids``. Only postings that share a skill meet a query; their matches are counted on the
-    way (partial aggregation), and each query keeps its k best by a window group limit.
+    queries: ``query_id, candidate_skill_ids``, and ``source_job_id`` where a query's own posting must not answer it. Only
+    postings that share a skill meet a query; their matches are counted on the way (partial aggregation), and each query keeps
+    its k best by a window group limit.
     """
     q = queries.select("query_id", F.array_distinct("candidate_skill_ids").alias("c")).withColumn("n_c", F.size("c"))
     j = sidecar.select("job_id", F.array_distinct("skill_ids").alias("s")).withColumn("n_s", F.size("s"))
     pairs = q.select("query_id", "n_c", F.explode("c").alias("skill_id")).join(j.select("job_id", "n_s", F.explode("s").alias("skill_id")), "skill_id").groupBy("query_id", "n_c", "job_id", "n_s").agg(F.count(F.lit(1)).alias("m"))
     parts = components(F.col("m"), F.col("n_c"), F.col("n_s"))
+    if "source_job_id" in queries.columns:
+        own = queries.filter("source_job_id is not null").select("query_id", F.col("source_job_id").alias("job_id")).distinct()
+        pairs = pairs.join(own, ["query_id", "job_id"], "left_anti")
     scored = pairs.select("query_id", "job_id", parts["harmonic_f1"].alias("harmonic_f1"), parts["job_skill_coverage"].alias("job_skill_coverage"))
     w = Window.partitionBy("query_id").orderBy(F.desc("harmonic_f1"), F.desc("job_skill_coverage"), "job_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -98,20 +105,35 @@ def check_queries(queries: DataFrame, known: DataFrame) -> None:
         raise ValueError(f"unknown skill {strange[0][0]}")
 
 
+def _hash(seed: int, key: str) -> str:
+    return hashlib.sha256(f"{seed}:{key}".encode()).hexdigest()
+
+
+def pools(queries: DataFrame, sidecar: DataFrame, k: int, seed: int, candidates: int = 5000) -> DataFrame:
+    """``query_id, jobs, matcher, random``: the judging pool of every query, its k best and k random postings in blind order,
+    both without the query's source posting. Random ones come from the first `candidates` ids of the seeded order (a sampling
+    frame, drawn once and sent to the executors, which draw by query id)."""
+    spark = queries.sparkSession
+    frame = spark.sparkContext.broadcast([r[0] for r in sidecar.select("job_id").orderBy(shuffle_key(F.col("job_id"), seed), "job_id").limit(candidates).collect()])
+    best = rank_queries(queries, sidecar, k).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "job_id"))), lambda x: x["job_id"]).alias("matcher"))
+    rows = queries.select("query_id", "source_job_id").join(best, "query_id", "left").select("query_id", "source_job_id", F.coalesce("matcher", F.array().cast("array<string>")).alias("matcher"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = frame.value
+        for batch in batches:
+            jobs, drawn = [], []
+            for query, source, matcher in zip(*(c.to_pylist() for c in batch.columns)):
+                banned = {*matcher, source}
+                # at most k + 1 of the drawn ids are banned
+                draw = random.Random(_hash(seed, query)).sample(ids, min(2 * k + 1, len(ids)))
+                drawn.append([j for j in draw if j not in banned][:k])
+                jobs.append(sorted({*matcher, *drawn[-1]}, key=lambda j: _hash(seed, query + j)))
+            texts = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(jobs, texts), batch.column(2), pa.array(drawn, texts)], ["query_id", "jobs", "matcher", "random"])
+
+    return rows.mapInArrow(run, "query_id string, jobs array<string>, matcher array<string>, random array<string>")
+
+
 def pool(queries: DataFrame, sidecar: DataFrame, k: int, seed: int, candidates: int = 5000) -> list[dict]:
-    """Judging pool: the k best and k random postings of each query, in blind order. Random ones come from the first
-    `candidates` ids of the seeded order (a sampling frame, drawn once) without the query's source posting."""
-    frame = [r[0] for r in sidecar.select("job_id").orderBy(shuffle_key(F.col("job_id"), seed), "job_id").limit(candidates).collect()]
-    best: dict[str, list[str]] = {}
-    for r in rank_queries(queries, sidecar, k).orderBy("query_id", "rank").collect():
-        best.setdefault(r["query_id"], []).append(r["job_id"])
-    out = []
-    for q in queries.orderBy("query_id").collect():
-        matcher = best.get(q["query_id"], [])
-        rng = random.Random(f"{seed}:{q['query_id']}")
-        banned = {*matcher, q["source_job_id"]}
-        drawn = rng.sample([j for j in frame if j not in banned], min(k, sum(j not in banned for j in frame)))
-        both = [*matcher, *drawn]
-        rng.shuffle(both)
-        out.append({"query_id": q["query_id"], "jobs": both, "matcher": matcher, "random": drawn})
-    return out
+    """The pools of a query file of a size to be judged by hand, as a list by query id."""
+    return [r.asDict() for r in pools(queries, sidecar, k, seed, candidates).orderBy("query_id").collect()]

@@ -399,10 +399,9 @@ def ranking_metrics_graded(spark, d):
 
 @query()
 def match_pool(spark, d):
-    """Judging pools of the first gold queries: matcher's and random postings in blind order."""
-    q = _gold_queries(spark, d).orderBy("query_id").limit(30).withColumn("source_job_id", F.col("query_id"))
-    rows = [(p["query_id"], j, i) for p in matching.pool(q, side(spark, d), 10, ids.SEED) for i, j in enumerate(p["jobs"], 1)]
-    return spark.createDataFrame(rows, "query_id string, job_id string, place int")
+    """Judging pools of all gold queries: matcher's and random postings in blind order, without the query's own posting."""
+    q = _gold_queries(spark, d).withColumn("source_job_id", F.col("query_id"))
+    return matching.pools(q, side(spark, d), 10, ids.SEED).select("query_id", F.posexplode("jobs").alias("at", "job_id")).select("query_id", "job_id", (F.col("at") + 1).alias("place"))
 
 
 # cohorts

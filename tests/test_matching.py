@@ -71,6 +71,28 @@ def test_pool_is_repeatable_and_without_the_source(spark, side):
     assert a == b and "e" not in a[0]["random"] and not set(a[0]["matcher"]) & set(a[0]["random"])
 
 
+def test_pools_leave_the_source_to_neither_side(spark, side):
+    """The source posting is the matcher's best answer, and the next one takes its place; a query without matches has a pool."""
+    q = spark.createDataFrame([("q", ["python", "sql"], "d"), ("r", ["cobol"], "a"), ("s", ["python"], None)], "query_id string, candidate_skill_ids array<string>, source_job_id string")
+    got = {r["query_id"]: r for r in matching.pools(q, side, 2, 1).collect()}
+    assert got["q"]["matcher"] == ["a", "b"] and got["r"]["matcher"] == [] and got["s"]["matcher"] == ["b", "d"]
+    for i, source in (("q", "d"), ("r", "a"), ("s", None)):
+        r = got[i]
+        assert source not in r["jobs"] and len(r["random"]) == 2 and sorted(r["jobs"]) == sorted(r["matcher"] + r["random"])
+
+
+def test_match_pool_has_every_gold_query(spark, tmp_path):
+    from stellwerk.plans import reports
+
+    gold = [(f"j{i:03}", ["python"]) for i in range(70)]
+    spark.createDataFrame(gold, "job_id string, skill_ids array<string>").write.parquet(f"{tmp_path}/skill_gold_v1.parquet")
+    spark.createDataFrame(gold, "job_id string, skill_ids array<string>").write.parquet(f"{tmp_path}/job_skills.parquet")
+    spark.createDataFrame([("python", "Python", "x")], "skill_id string, label string, category string").write.parquet(f"{tmp_path}/dim_skill.parquet")
+    rows = reports.match_pool(spark, str(tmp_path)).collect()
+    assert {r["query_id"] for r in rows} == {j for j, _ in gold} and not [r for r in rows if r["query_id"] == r["job_id"]]
+    assert max(r["place"] for r in rows) == 20 and len(rows) == 70 * 20
+
+
 def test_scores_kappa_bootstrap(spark):
     gold = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "job_id string, skill_id string")
     pred = spark.createDataFrame([("a", "x"), ("b", "z")], "job_id string, skill_id string")
