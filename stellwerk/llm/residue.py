@@ -69,7 +69,7 @@ WIDELY = 3
 ABOUT = r"(?i)(?:sie pflegen|du pflegst|ihr pflegt|you make sure|you maintain|sie prüfen|kenntnisse|erfahrung mit|knowledge of|experience with|schulung|unseres webshops|our \d* ?pages|work even when)"
 
 #: Every rule needs one of these in the lower-case text. Looking for them first keeps the patterns off ordinary texts.
-SIGNS = ("{", "<", "%", "__", "#", "[", "xxx", "x,xxx", "xyz ", "tt.mm.", "dd.mm", "dd/mm", "dd-mm", "_placeholder", "todo", "undefined", "location.name", "einfügen", "einsetzen", "ausfüllen", "ergänzen", "eintragen", "insert", "fill in", "to be completed")
+SIGNS = ("{", "<", "%", "__", "#", "[", "xxx", "xx,xx", "xyz ", "tt.mm.", "dd.mm", "dd/mm", "dd-mm", "_placeholder", "todo", "undefined", "location.name", "einfügen", "einsetzen", "ausfüllen", "ergänzen", "eintragen", "insert", "fill in", "to be completed")
 LITERALS = (
     "lorem", "dolor sit", "blindtext", "hier steht später", "beschreibung folgt", "platzhalter bitte", "bitte ersetzen", "replace me", "test test", "asdf", "musterfirma", "musterstadt", "mustermann", "musterstra", "- aufgabe", "abschnitt", "to follow", "placeholder text", "sample text", "folgt der abschnitt", "text folgt",
     "nicht gefunden", "not found", "forbidden", "unauthorized", "bad request", "seite", "server error", "http error", "unavailable", "gateway", "too many", "access denied", "zugriff verw", "permission to", "unable to complete", "nicht verarbeiten", "fehler", "schiefgelaufen", "went wrong", "http status", "traceback", "keyerror", "existiert nicht", "nicht mehr verf", "no longer", "abgelaufen", "expired",

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -178,6 +179,17 @@ def test_settled_kinds():
     assert kinds("Gartenstraße", "street_address") == [] and kinds("[EMAIL REDACTED]", "email") == []
 
 
+def test_every_placeholder_rule_passes_the_prefilter():
+    """One sample per alternative, in the order of PLACEHOLDERS: the rule meets it, and so does the search for signs."""
+    samples = (
+        ("{{name}}",), ("{% if x %}",), ("<% x %>",), ("${x}",), ("{job.title}",), ("%%NAME%%",), ("%NAME%",), ("__NAME__",), ("______",), ("#NAME#",), ("#REF!", "#NV", "#N/A", "#NAME?", "#VALUE!", "#WERT!", "#DIV/0!"), ("[object Object]",), ("[FIRMA]",), ("[ort]",), ("(bitte einfügen)", "[insert text]", "(fill in)", "(replace me)", "(to be completed)", "[hier ausfüllen]", "[ergänzen]", "[eintragen]", "[einsetzen]"), ("<stadt>",), ("<ORTE> <FIRMA>",), ("XX,XX EUR", "XX,XXX", "XXXX", "xxxxx"), ("XYZ GmbH",), ("TT.MM.JJJJ", "dd.mm.yyyy", "dd/mm/yyyy", "dd-mm-yyyy"), ("city_placeholder",), ("TODO: x",), ("undefined",), ("location.name",),
+    )
+    assert len(samples) == len(residue.PLACEHOLDERS)
+    for pattern, texts in zip(residue.PLACEHOLDERS, samples):
+        for t in texts:
+            assert re.search(pattern, t) and residue.holds_sign(t), (pattern, t)
+
+
 # p10
 
 
