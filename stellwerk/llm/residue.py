@@ -140,8 +140,8 @@ def messages(df: DataFrame, key: str, source: str, fields: tuple[str, ...]) -> D
 
 
 def recurring(rows: DataFrame) -> DataFrame:
-    """Groups of equal normalised messages: ``hash, n_rows, n_keys_sources`` and an example."""
-    return rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n_rows"), (F.min("source") != F.max("source")).alias("across"), F.min("message").alias("example"), F.max("whole").alias("whole"))
+    """Groups of equal normalised messages: ``hash, n_rows, across`` and an example; a row delivered again counts once (by key)."""
+    return rows.groupBy("hash").agg(F.count_distinct("key").alias("n_rows"), (F.min("source") != F.max("source")).alias("across"), F.min("message").alias("example"), F.max("whole").alias("whole"))
 
 
 def residue(df: DataFrame, key: str = "job_id", source: str = "source", fields: tuple[str, ...] = ("location", "description")) -> DataFrame:

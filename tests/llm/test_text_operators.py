@@ -190,6 +190,15 @@ def test_every_placeholder_rule_passes_the_prefilter():
             assert re.search(pattern, t) and residue.holds_sign(t), (pattern, t)
 
 
+def test_recurrence_counts_keys(spark):
+    """A posting delivered three times does not recur; three postings of two sources do."""
+    again = [("1", s, None, "Weiterlesen") for s in ("a", "b", "b")]
+    others = [(k, s, None, "Nach oben") for k, s in (("2", "a"), ("3", "b"), ("4", "b"))]
+    df = spark.createDataFrame(again + others, "job_id string, source string, location string, description string")
+    assert {r["job_id"] for r in residue.residue(df).collect()} == {"2", "3", "4"}
+    assert [(r["example"], r["n_rows"]) for r in residue.recurring_messages(df).collect()] == [("Nach oben", 3)]
+
+
 # p10
 
 
