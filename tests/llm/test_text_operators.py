@@ -1,3 +1,4 @@
+import inspect
 import random
 import re
 
@@ -156,6 +157,11 @@ def test_redaction(spark, model):
     assert pii.find_items(df.limit(0)).count() == 0
 
 
+def test_the_model_takes_no_corpus():
+    """No prefix of corpus fragments trains the model: it is fitted on the labelled table alone, at every size."""
+    assert not inspect.signature(pii.trained).parameters and not hasattr(pii, "plain_fragments")
+
+
 def test_a_contact_name_in_a_third_of_the_rows(spark, model):
     """One contact signs every third posting: each mention is found and redacted, in every field."""
     tasks = ["planen", "prüfen", "bauen", "messen", "liefern", "buchen", "testen", "montieren"]
