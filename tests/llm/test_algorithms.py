@@ -1,5 +1,6 @@
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,8 @@ CITIES = [
     (1, "Bad Königssieden", None, "Nordmark", "688"), (2, "Falkenmünde", None, "Südalb", "522"), (3, "Steinhafen", "Stonehaven", "Küstenmark", "648"), (4, "Altenmoor (Tessel)", None, "Südalb", "897"), (5, "Altenmoor (Murne)", None, "Nordmark", "965"),
     (6, "Heideloh an der Tessel", None, "Oberharl", "911"), (7, "Falkendorf", None, "Seelande", "115"), (8, "Salzdorf", None, "Mittelau", "557"), (9, "Salzmünde", None, "Mittelau", "558"), (10, "Steinbrück", None, "Seelande", "509"), (11, "Kirchbrück", None, "Seelande", "510"), (12, "Rosenhafen", None, "Seelande", "511"),
 ]
+DATA = Path("/root/testdata/sf0.001")
+needs_data = pytest.mark.skipif(not DATA.exists(), reason="test tables are missing")
 SCHEMA = "city_id long, city_name string, alt_name string, federal_state string, postal_prefix string"
 
 
@@ -56,8 +59,39 @@ def test_mapping(spark, monkeypatch):
     assert {tuple(r) for r in canonical.typed_places(df, ref).collect()} == want
     assert canonical.typed_places(df.limit(0), ref).count() == 0
     assert {r["city_id"] for r in canonical.typed_places(df, ref.limit(0)).collect()} == {0}
-    monkeypatch.setattr(canonical, "SHARD", 8)
-    assert {tuple(r) for r in canonical.typed_places(df, ref.filter("city_id <= 8")).collect()} == want
+    monkeypatch.setattr(canonical, "SHARD", 4)
+    assert {tuple(r) for r in canonical.typed_places(df, ref).collect()} == want
+    assert canonical.typed_places(df.limit(0), ref).count() == 0
+
+
+def test_short_names_are_searched_too():
+    g = canonical.Gazetteer.build([(1, "Rhön", None, None, None), (2, "Alb", None, None, None), (3, "Eichenhain", None, None, None)])
+    assert [g.meant(x) for x in ("Rhn", "Alp", "Al", "Eichnhain", "Xyz")] == [1, 2, 0, 3, 0]
+
+
+PLACES = ["Falkenmünde", "Faklenmünde", "52287 Falkenmnde", "Altenmoor/Murne", "Altenmor / Murne", "Altenmoor (Nordmark)", "Heideloh an dre Tessel", "Salzbrück", "00987 Salzbrück", "50912 Steinbrück", "B. Königssieden", "Stonehavn", "Salzdorf, Bahnhofstraße 3", "Falkendorf + Rosenhafen", "D-52260", "Südalb", "Remote", "Bahnhofstr. 5", "PLZ 99999", "Standort: Kirchbrück"]
+
+
+@pytest.mark.parametrize("shards", [2, 3, 12])
+def test_merged_shards_decide_like_one_tree(shards):
+    """Every lookup of the decision meets the same entries, whatever shard they stand in."""
+    whole = canonical.Gazetteer.build(CITIES)
+    parts = [canonical.Gazetteer.build([c for c in CITIES if c[0] % shards == i], whole.any_state) for i in range(shards)]
+    rng = random.Random(shards)
+    values = PLACES + ["".join(ch for ch in v if rng.random() > 0.06) for v in PLACES for _ in range(8)]
+    for v in values:
+        found = [canonical.hits(g, v) for g in parts]
+        merged = canonical.Gazetteer.build([e for es, _ in found for e in es], whole.any_state, [r for _, rs in found for r in rs])
+        assert merged.meant(v) == whole.meant(v), v
+
+
+@needs_data
+@pytest.mark.parametrize("shard", [8, 50, 100])
+def test_shards_of_the_test_tables(spark, monkeypatch, shard):
+    jobs, ref = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("jobs", "city_reference"))
+    want = {tuple(r) for r in canonical.typed_places(jobs, ref).collect()}
+    monkeypatch.setattr(canonical, "SHARD", shard)
+    assert {tuple(r) for r in canonical.typed_places(jobs, ref).collect()} == want
 
 
 # p7
