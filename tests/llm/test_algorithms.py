@@ -86,7 +86,7 @@ def test_merged_shards_decide_like_one_tree(shards):
 
 
 @needs_data
-@pytest.mark.parametrize("shard", [8, 50, 100])
+@pytest.mark.parametrize("shard", [20, 50, 100])
 def test_shards_of_the_test_tables(spark, monkeypatch, shard):
     jobs, ref = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("jobs", "city_reference"))
     want = {tuple(r) for r in canonical.typed_places(jobs, ref).collect()}
