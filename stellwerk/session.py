@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -35,14 +36,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
-
-
 def collect_bounded(df: DataFrame, most: int, what: str) -> list[Row]:
     """Rows of a table that must stay small, such as a dimension. More than `most` rows is an error, never a cut."""
     rows = df.limit(most + 1).collect()
@@ -51,8 +44,29 @@ def collect_bounded(df: DataFrame, most: int, what: str) -> list[Row]:
     return rows
 
 
+_WRITTEN: list[str] = []
+
+
 def written_table(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder, and read from there: compact, column-pruned, and safe when executors are lost."""
+    """df written once to the shared folder, and read from there: compact, column-pruned, and safe when executors are lost.
+
+    Results are lazy and read it later, so it stays until `drop_written`, or the end of this process.
+    """
+    if not _WRITTEN:
+        atexit.register(drop_written)
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written() -> int:
+    """Delete the tables that this process has written, once the results that read them are done; how many there were."""
+    spark, n = SparkSession.getActiveSession(), len(_WRITTEN)
+    while spark is not None and _WRITTEN:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session is gone
+            break
+    return n
