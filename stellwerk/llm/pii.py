@@ -1,6 +1,6 @@
 """Personal information in free text: a linear-chain conditional random field, decoded by Viterbi in numpy batches.
 
-Tokens are runs of letters, runs of digits and single signs, each with the white space before it. A token's type is its set
+Tokens are runs of letters, runs of digits, runs of capitals and digits, and single signs, each with the white space before it. A token's type is its set
 of word-shape features (shape, length class, endings and words seen in the labelled table), so the many different words of
 a corpus share few types; the scores of a type at the seven places of the window are one row of a matrix. A batch is one
 flat array of types: emissions are seven gathers, and Viterbi runs over thousands of lines at once, ordered by length.
@@ -28,14 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stellwerk.llm import pii_table
+from stellwerk.llm.bpe import slices
 from stellwerk.llm.pii_table import KINDS
 
 FIELDS = ("description", "requirements", "benefits")
 #: O, then B and I of each kind.
 LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
 REACH = 3
-_TOKEN = re.compile(r"\s*(?:[^\W\d_]+|\d+|[^\w\s]|_)|\s+$")
+#: Tokens times lines that are decoded at once, and characters of the texts that are read at once: memory does not depend on how texts are cut.
+CELLS, CHARACTERS = 1 << 17, 1 << 20
+_TOKEN = re.compile(r"\s*(?:(?=[A-Z]+\d|\d+[A-Z])[A-Z\d]{5,}(?![a-z])|[^\W\d_]+|\d+|[^\w\s]|_)|\s+$")
 _AT = re.compile(r"(?i)@|&#64;|＠|[(\[{]\s*(?:at|ät|a)\s*[)\]}]|\s(?:at|ät)\s")
+_DOT = re.compile(r"(?i)\.|\b(?:dot|punkt|point|kropka|punt)\b")
 _WORD_DIGITS = re.compile(r"(?i)\b(?:null|eins|zwei|drei|vier|fünf|sechs|sieben|acht|neun|zero|one|two|three|four|five|six|seven|eight|nine)\b")
 
 
@@ -71,6 +75,8 @@ class Crf:
         if not core:
             return (space, "blank")
         c = core[0]
+        if len(core) > 4 and core.isalnum() and not core.isalpha() and not core.isdigit():  # a run of capitals and digits
+            return (space, "code", f"code{min(len(core), 13)}", f"code{space}")
         if c.isdigit():
             n = len(core)
             out = [space, f"d{min(n, 13)}", f"d{min(n, 13)}{space}"]
@@ -94,7 +100,7 @@ class Crf:
                 out.append(f"e={low[-k:]}")
         return tuple(out)
 
-    def fit(self, table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 16, batch: int = 96, rate: float = 0.05, shrink: float = 3e-5, seed: int = 3) -> Crf:
+    def fit(self, table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 20, batch: int = 96, rate: float = 0.05, shrink: float = 3e-5, seed: int = 3) -> Crf:
         """Maximum likelihood with an L2 term, by Adam over forward-backward expectations of mini-batches."""
         lines = [(_TOKEN.findall(text), text, spans) for text, spans in table]
         seen = Counter(t.strip().lower() for tokens, _, _ in lines for t in dict.fromkeys(tokens))
@@ -223,8 +229,10 @@ class Crf:
         padded[place] = flat
         order = np.argsort(-sizes, kind="stable")
         order = order[sizes[order] > 0]
-        for a in range(0, len(order), 2048):
-            rows = order[a : a + 2048]
+        a = 0
+        while a < len(order):  # lines of falling length, as many as fill CELLS cells with the first one's
+            rows = order[a : a + max(1, CELLS // int(sizes[order[a]]))]
+            a += len(rows)
             n = sizes[rows]
             # time-major: [token, line, label]
             pos = np.minimum(starts[rows][None] + np.arange(n[0])[:, None], len(padded) - REACH - 1)
@@ -311,27 +319,30 @@ def plausible(kind: str, text: str) -> bool:
     if "REDACTED" in text:
         return False
     if kind == "email":
-        return bool(_AT.search(text)) and len(text) >= 6
+        return len(text) >= 6 and (at := _AT.search(text)) is not None and _DOT.search(text, at.end()) is not None
     if kind == "phone":
         return digits >= 6 or len(_WORD_DIGITS.findall(text)) >= 6
     if kind == "id_number":
-        return digits >= 3
+        return digits >= 3 or digits > 0 and bool(_CODE.search(text))
     if kind == "street_address":
         return digits >= 1 and sum(c.isalpha() for c in text) >= 3
-    return sum(c.isalpha() for c in text) >= 3 and digits == 0 and "@" not in text
+    words = [w for w in _LETTERS.findall(text.lower()) if len(w) > 1 and w not in _TITLES]
+    return sum(map(len, words)) >= 3 and len(words) <= 5 and digits == 0 and "@" not in text
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Words of titles and forms of address; a name has at most five other words.
+_TITLES = frozenset("herr herrn frau hr fr dr prof dipl ing med phil mr mrs ms miss sir pan pani mme mlle mevrouw dhr mw van von der de den la zu".split())
 #: Formats that settle the kind of a number (fixed values: tax, insurance and passport layouts).
 _IDENTITY = re.compile(r"756\.\d{4}\.\d{4}\.\d{2}|(?<!\d)\d{2}([ /])\d{3}\1\d{3}\1\d{3}(?!\d)|(?<!\d)\d{2}[ -]?\d{6}[ -]?[A-Z][ -]?\d{3}(?!\d)")
+#: A document number of capitals and digits, in one run or in groups of three.
+_CODE = re.compile(r"(?<![^\W_])(?:[A-Z\d]{6,}|[A-Z\d]{3}(?:[ -][A-Z\d]{3}){2})(?![^\W_])")
 _BEFORE = re.compile(r"(?i)(?:steuer|idnr|tax|versicherung|svnr|sv-n|rv-n|ahv|pesel|ausweis|passport|pass n|bsn|insurance|security)[^\n]{0,24}$")
 _JOINED = {"person_name": re.compile(r"\s+(?:und|oder|and|or|et|ou|en|of|i|lub)\s+"), "email": re.compile(r"\s+(?:und|oder|and|or|et|ou|en|of|lub)\s+"), "phone": re.compile(r"\s+(?:und|oder|and|or|mobil|mobile)\s+")}
 
 
-def settle(text: str, start: int, end: int, kind: str, _words: set[str] = frozenset()) -> Iterator[tuple[int, int, str]]:
-    """The items of one decoded span: joined ones apart, numbers of a settled format under their kind, implausible ones out.
-
-    `_words` is not used: no word, however frequent, takes a span away.
-    """
+def settle(text: str, start: int, end: int, kind: str) -> Iterator[tuple[int, int, str]]:
+    """The items of one decoded span: joined ones apart, numbers of a settled format under their kind, implausible ones out."""
     if kind == "phone" and (_IDENTITY.search(text[start:end]) or _BEFORE.search(text[max(0, start - 40) : start])):
         kind = "id_number"
     elif kind == "id_number" and re.match(r"(?:tel:?\.?\s*)?\(?[+0]\d", text[start:end]) and not _IDENTITY.search(text[start:end]) and not _BEFORE.search(text[max(0, start - 40) : start]):
@@ -392,8 +403,8 @@ def find_items(df: DataFrame, key: str = "job_id", fields: tuple[str, ...] = FIE
             out: list[tuple] = []
             for i, field in enumerate(fields, 1):
                 column = batch.column(i).to_pylist()
-                for a in range(0, len(column), 2000):
-                    for r, spans in items(model.value, column[a : a + 2000]):
+                for a, b in slices(column, CHARACTERS):
+                    for r, spans in items(model.value, column[a:b]):
                         seen: Counter = Counter()
                         for _, _, kind in spans:
                             seen[kind] += 1
@@ -415,8 +426,8 @@ def redact(df: DataFrame, key: str = "job_id", fields: tuple[str, ...] = FIELDS)
             columns = list(batch.columns)
             for p in places:
                 texts = columns[p].to_pylist()
-                for a in range(0, len(texts), 2000):
-                    for r, spans in items(model.value, texts[a : a + 2000]):
+                for a, b in slices(texts, CHARACTERS):
+                    for r, spans in items(model.value, texts[a:b]):
                         t = texts[a + r]
                         for start, end, kind in reversed(spans):
                             t = f"{t[:start]}[{kind.upper()}]{t[end:]}"

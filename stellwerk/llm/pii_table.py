@@ -9,7 +9,7 @@ from __future__ import annotations
 import random
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
-_SLOT = {"E": "email", "P": "phone", "I": "id_number", "A": "street_address", "N": "person_name"}
+_SLOT = {"E": "email", "P": "phone", "I": "id_number", "A": "street_address", "F": "street_address", "N": "person_name"}
 
 #: {N} person, {E} mail, {P} phone, {I} identity number, {A} street address; {c} company, {t} town, {w} product, {d} digits, {n} small number, {k} noun.
 TEMPLATES = """
@@ -58,6 +58,9 @@ Votre contact : {N}, téléphone {P}.
 Pour toute question, {N} vous répondra.
 Envoyez votre dossier à {E}.
 Nos bureaux se trouvent ici : {A}.
+Nos bureaux se trouvent ici : {F}.
+Nos bureaux se trouvent ici : {F}. {x}
+Votre lieu de travail : {F}. {x}
 Vragen kun je stellen aan {N} via {E}.
 Stuur je brief naar {E}.
 Bel {N} op {P}.
@@ -71,6 +74,25 @@ Ons adres is {A}.
 Pytania prosimy kierować do: {N}, tel. {P}.
 Zgłoszenia prosimy wysyłać na adres {E}.
 Biuro mieści się pod adresem {A}.
+Biuro mieści się pod adresem {A}. {x}
+Ruf kurz durch: {P} oder mobil {P} {x}
+Ruf an unter {P} oder mobil {P}. {x}
+Erreichbar unter {P} oder mobil {P}, auch am Samstag.
+Ihre Ansprechperson ist {N}, erreichbar unter {P}. {x}
+Vorab per WhatsApp an {P}, danach Unterlagen an {E} oder per Post: {A}. {x}
+File copied from {I}. {x}
+File copied from {I}. {x} {x}
+Internal note, do not publish: {N}, {I}. {x}
+Notatka wewnętrzna: {N}, {I}. {x}
+Ausweis hinterlegt: {I}. {x}
+On file: {I}. {x}
+Übernommen aus Akte {N}, {I}, wohnhaft {A}. {x}
+{N}, wohnhaft {A}. {x}
+Sie finden uns hier: {A}, Eingang im Hof, Anmeldung bei {N}. {x}
+Unsere Adresse: {A}. {x}
+Questions? Call {N} on {P}. {x}
+Your contact is {N}, phone {P}. {x}
+Write to {E} or visit us at {A}. {x}
 """.strip().splitlines()
 
 #: Sentences without personal items, many of them close to one.
@@ -223,6 +245,11 @@ Für die Stelle zählen {l}.
 Für die Stelle zählen {l}. {x}
 Gefragt sind {l}.
 Gefragt sind {l}. {x}
+Gefragt sind {l2}, {l2} und {l3}.
+Gefragt sind {l2}, {l2} und {l3}. {x}
+Unser Alltag dreht sich um {l2}, {l2} und {l3}. {x}
+Für die Stelle zählen {l2} und {l3}.
+We look for {l2}, {l2} and {l3}. {x}
 We look for {l}.
 The role calls for {l}.
 You will often work with {l}. {x}
@@ -304,6 +331,34 @@ Wichtig sind uns Sorgfalt und Belastbarkeit. Sicheres Deutsch in Wort und Schrif
 Fehler 404: Der Server konnte Ihre Anfrage nicht verarbeiten.
 Template nicht gefunden: job_detail_{d}.tpl
 Als {{JOB_TITLE}} unterstützen Sie unser Team in {t}.
+You write test plans and translate customer wishes into small tasks. {x}
+You coordinate vendors across several sites and train new colleagues on the line.
+Together with people from other departments you plan releases and review designs. {x}
+In this role you answer tickets, keep the wiki up to date and help with the weekly stocktaking.
+You prepare offers for long-standing clients and look after them from first call to invoice.
+You build and test new features with a small crew and write down what you learn. {x}
+From time to time you also translate requirements for other teams and take over on-call duty.
+You maintain machines, check incoming goods and report faults to the shift lead. {x}
+You will plan routes, coordinate drivers and take part in audits across several branches.
+Od pierwszego dnia otrzymasz prywatną opiekę medyczną oraz elastyczne godziny pracy.
+Oferujemy stabilne zatrudnienie, kartę sportową i prywatną opiekę dla całej rodziny. {x}
+Do twoich zadań należy obsługa klientów, przygotowanie dokumentów i kontrola jakości.
+Vous bénéficiez dès le premier jour d'une mutuelle et de horaires souples. {x}
+Vous assurez le suivi des commandes et vous formez les nouveaux collègues.
+Je werkt nauw samen met andere afdelingen en je leidt nieuwe mensen op. {x}
+Je krijgt een goed salaris, vrije dagen en een fiets van de zaak.
+Sie schreiben Angebote, betreuen langjährige Kunden und schulen neue Kolleginnen und Kollegen. {x}
+Du prüfst eingehende Ware, meldest Störungen und hältst unsere Unterlagen aktuell. {x}
+Du arbeitest eng mit anderen Abteilungen zusammen und übersetzt Anforderungen in kleine Schritte.
+Unsere Benefits: #BENEFIT_1#, #BENEFIT_2#. {x}
+Stand: TT.MM.JJJJ, Unternehmen: Musterfirma GmbH. {x}
+Wer Führerschein C, {k} oder {w} kennt, startet schneller.
+Gefragt sind Führerschein C, {l2} und Führerschein B.
+Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. {x}
+In ruhigen Wochen bleibt Zeit, Unterlagen zu ordnen und Neues zu lernen. {x}
+Sie nehmen Aufträge entgegen, und in ruhigen Zeiten verbessern Sie mit uns die Abläufe.
+Die Steuerung laufender Projekte liegt in Ihrer Zuständigkeit. In stillen Wochen bleibt Zeit für Weiterbildung.
+Benefits: TEXT_PLACEHOLDER. we value patience and honest feedback. {x}
 """.strip().splitlines()
 
 _FIRST = "Anna Jonas Mirela Tobias Svenja Luca Bao Tarik Oksana Emre Zoe Ilka Falk Thea Piet Ole Hanno Nadja Veit Amira Marek Elif Sören Katharina Yusuf Ingrid Pavel Chloé Wout Agnieszka".split()
@@ -319,6 +374,7 @@ _OWN = ["Hinter dem Wall", "Neuer Markt", "Am Alten Hafen", "Platz der Brücken"
 _ENGLISH = ["Harbour Road", "Canal Road", "Mill Lane", "Station Street", "Station St", "Bridge Avenue", "Orchard Close"]
 _FRENCH = ["impasse des Tilleuls", "avenue des Tilleuls", "rue du Moulin", "boulevard des Forges", "place de la Gare", "chemin des Vignes"]
 _DUTCH = ["Molenweg", "Lindelaan", "Kerkstraat", "Havenkade", "Molenstraat", "Lindenweg"]
+_SUFFIX = ["", "", "", "", "a", "b", " c", "a", "-20"]
 _POLISH = ["ul. Lipowa", "ul. Polna", "al. Parkowa", "ul. Kolejowa", "os. Leśne"]
 _DIGITS = ("null", "eins", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun")
 _SYLLABLES = "ber tol mar ken ul dra fu pal sen wi gro lan ster mo ri ha vel zan kru quen ost im bra del tra nyk ow ett sky lun dorf moor wald berg mann".split()
@@ -350,7 +406,7 @@ class _Maker:
             s = f"{f[0]}. {n}"
         elif form < 0.57:
             s = f"{f} {r.choice('ABEMT')}. {n}"
-        elif form < 0.66:
+        elif form < 0.69:
             s = f"{n}, {f}"
         else:
             title = r.choice(["Herr", "Frau", "Herrn", "Frau", "Hr.", "Fr.", "Ms.", "Mr", "Mrs.", "Mr.", "Dr.", "Prof. Dr.", "Dipl.-Ing.", "Frau Dr.", "Herrn Dr.", "Pan", "Pani", "Mme", "M.", "mevrouw", "dhr."])
@@ -374,19 +430,24 @@ class _Maker:
         r, n = self.r, self.r.randint(1, 199)
         x = r.random()
         if x < 0.06:
-            return f"{n}, {r.choice(_FRENCH)}" + r.choice(["", f", {self.town()}"])
+            return self.french()
         if x < 0.16:
-            return r.choice(["", "", f"Unit {r.randint(1, 9)}, ", f"Flat {r.randint(1, 30)}, "]) + f"{n} {r.choice(_ENGLISH)}" + r.choice(["", f", {self.town()}"])
-        number = str(n) + r.choice([""] * 6 + ["a", " b", "c", f"-{self.digits(3)}", f"-{self.digits(3)}", f"/{r.randint(1, 9)}"])
+            return r.choice(["", "", f"Unit {r.randint(1, 9)}, ", f"Flat {r.randint(1, 30)}, "]) + f"{n}{r.choice(_SUFFIX)} {r.choice(_ENGLISH)}" + r.choice(["", f", {self.town()}"])
+        number = str(n) + r.choice([""] * 5 + ["a", "a", " b", "c", f"-{self.digits(3)}", f"-{self.digits(3)}", f"/{r.randint(1, 9)}"])
         s = r.choice(_DUTCH) if x < 0.22 else r.choice(_POLISH) if x < 0.28 else self.street()
         space = "" if s.endswith("str.") and r.random() < 0.3 else " "
         zipped = f"{self.digits(5)} {self.town()}"
-        return f"{s}{space}{number}" + r.choice(["", "", f", {zipped}", f" | {zipped}", f" – {zipped}", f" in {zipped}", f", {self.town()}", f" in {self.town()}"])
+        return f"{s}{space}{number}" + r.choice(["", "", "", "", f", {zipped}", f" | {zipped}", f" – {zipped}", f" in {zipped}", f", {self.town()}", f" in {self.town()}"])
+
+    def french(self) -> str:
+        r = self.r
+        zipped = f"{self.digits(5)} {self.town()}"
+        return f"{r.randint(1, 199)}{r.choice(_SUFFIX)}{r.choice([', ', ', ', ' '])}{r.choice(_FRENCH)}" + r.choice(["", "", f", {self.town()}", f" – {zipped}", f", {zipped}"])
 
     def mail(self) -> str:
         r = self.r
         local = r.choice([f"{self.first()}.{self.word()}", f"{self.word()}_{self.digits(2)}", f"{self.first()}+bewerbung{self.digits(2)}", f"{self.word()}", r.choice(["jobs", "personal", "karriere", "recruiting", "bewerbung", "people", "hr-team", "kontakt.hr", "info"])]).lower()
-        domain = [*r.choice([[], [], [], ["hr"], ["mail"], ["post"]]), "-".join(self.word(1, 2) for _ in range(r.randint(1, 3))), *r.choice([["example"], ["test"], ["invalid"], ["example", "org"], ["example", "com"], ["de"], ["example", "net"]])]
+        domain = [*r.choice([[], [], [], ["hr"], ["mail"], ["post"]]), "-".join(self.word(1, 2) for _ in range(r.randint(1, 3))) + r.choice(["", "", "", "-kg", "-se", "-e-v", "-gmbh"]), *r.choice([["example"], ["test"], ["invalid"], ["example", "org"], ["example", "com"], ["de"], ["example", "net"]])]
         at = r.choice(["@"] * 9 + ["&#64;", "(at)", "[at]", "{at}", " at ", " at ", " at ", " (ät) ", " @ ", " @ ", "＠", " [at] ", " (at) "])
         dot = r.choice([" dot ", " punkt ", "."]) if at.strip() not in ("@", "＠", "&#64;") else "."
         s = r.choice([""] * 14 + ["mailto:"]) + local + at + dot.join(domain)
@@ -396,6 +457,8 @@ class _Maker:
         r = self.r
         area = r.choice(["89", "30", "40", "221", "69", "171", "172", "176", "1632", "7" + self.digits(3)])
         rest = self.digits(r.randint(6, 8))
+        if r.random() < 0.12:  # written without any sign
+            return f"0{area}{rest}"
         if r.random() < 0.05:
             return " ".join(_DIGITS[int(d)] for d in "0" + area + rest)
         if r.random() < 0.06:
@@ -415,6 +478,7 @@ class _Maker:
     def identity(self) -> str:
         r, d = self.r, self.digits
         up = lambda n: "".join(r.choice("ABCDEFGHKLMNPRTUVXYZ0123456789") for _ in range(n))
+        card = up(9) if r.random() < 0.6 else f"{up(3)} {up(3)} {up(3)}"
         tax = r.choice([d(11), f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{d(2)}/{d(3)}/{d(3)}/{d(3)}"])
         soc = r.choice([f"{d(8)}{r.choice('ABCDEKLMS')}{d(3)}", f"{d(2)} {d(6)} {r.choice('ABCDEKLMS')} {d(3)}", f"{d(2)}-{d(6)}-{r.choice('ABCDEKLMS')}-{d(3)}"])
         ahv = f"756.{d(4)}.{d(4)}.{d(2)}"
@@ -423,7 +487,8 @@ class _Maker:
             f"{r.choice(['Sozialversicherungsnr.', 'Versicherungsnummer', 'SVNR', 'RV-Nr.:', 'Sozialversicherungsnummer', 'SV-Nummer'])} {soc}",
             f"{r.choice(['AHV', 'AHV-Nr.', 'AHV-Nr.', ''])} {ahv}".strip(),
             f"{r.choice(['PESEL', 'PESEL:', 'PESEL'])} {d(11)}",
-            f"{r.choice(['Personalausweis', 'Ausweis-Nr.', 'Reisepass Nr.', 'passport no.', 'Passport No', 'Personalausweisnummer', 'ID card no.'])} {up(9)}",
+            f"{r.choice(['Personalausweis', 'Ausweis-Nr.', 'Reisepass Nr.', 'passport no.', 'Passport No', 'Personalausweisnummer', 'ID card no.', 'ID card', 'PA-Nr', 'Pass-Nr.'])} {card}",
+            f"{r.choice(['Personalausweis', 'Ausweis-Nr.', 'Reisepass Nr.', 'passport no.', 'ID card', 'PA-Nr'])} {card}",
             f"{r.choice(['BSN', 'BSN:', 'NIR', 'Social security number', 'National Insurance number'])} {d(9)}",
         ])
 
@@ -441,10 +506,10 @@ class _Maker:
             "c": self.company, "t": self.town, "w": self.product, "d": lambda: self.digits(r.randint(2, 5)).lstrip("0") or "7", "n": lambda: str(r.randint(1, 40)), "y": lambda: str(r.randint(1950, 2018)), "dd": lambda: self.digits(2),
             "k": lambda: r.choice(["Reise", "Kunden", "Netz", "Lager", "Vertrags", "Anlagen", "Personal", "Stations"]) + r.choice(["planung", "wartung", "logistik", "prüfung", "erfassung", "beratung"]),
             "date": lambda: f"{r.randint(1, 28):02d}.{r.randint(1, 12):02d}.2023", "ref": lambda: r.choice([f"{self.digits(4)}-{self.digits(5)}-{self.digits(2)}", f"{self.digits(3)}.{self.digits(2)}-{self.digits(5)}", self.digits(6), f"{self.digits(5)}-{self.digits(4)}-{self.digits(4)}"]), "long": lambda: self.digits(r.randint(9, 11)),
-            "l": lambda: ", ".join(r.sample(_SKILLS, r.randint(2, 4))) + r.choice([" und ", " and ", " und "]) + r.choice(_SKILLS), "l2": lambda: r.choice(_SKILLS), "b": lambda: r.choice(_PERKS), "j": lambda: r.choice(_POSTS),
-            "money": lambda: r.choice(["38.000", "38.000,00", "7,490", "50,000", "3 270", "44'000.00", "27,25", "29.45", "5.393"]) + r.choice(["", " €", " EUR", " Euro", " USD", " Kč", " euros", " Zloty", " zł", " Franken", " Fr.", " Tsd. €", " Pfund", " Kronen"]) + r.choice(["", "", " monatlich", " mtl.", " jährlich", " Jahresbrutto", " am Tag"]),
+            "l": lambda: ", ".join(r.sample(_SKILLS, r.randint(2, 4))) + r.choice([" und ", " and ", " und "]) + r.choice(_SKILLS), "l2": lambda: r.choice(_SKILLS), "l3": lambda: r.choice([x for x in _SKILLS if " " in x]), "b": lambda: r.choice(_PERKS), "j": lambda: r.choice(_POSTS),
+            "money": lambda: r.choice(["38.000", "38.000,00", "7,490", "50,000", "3 270", "44'000.00", "27,25", "29.45", "5.393", "£31,500.00", "£22,45", "$61,000"]) + r.choice(["", " €", " EUR", " Euro", " USD", " Kč", " euros", " Zloty", " zł", " Franken", " Fr.", " Tsd. €", " Pfund", " Kronen"]) + r.choice(["", "", " monatlich", " mtl.", " jährlich", " Jahresbrutto", " am Tag"]),
             "ek": lambda: f"{r.choice(_ADJECTIVES)} {r.choice(_AREAS)} {r.choice(_WORKS)}",
-            "s": self.street, "er": lambda: r.choice(_ENGLISH), "h": lambda: f"{self.word()}-{self.word(1, 2)}-ag", "x": self.plain,
+            "s": self.street, "er": lambda: r.choice(_ENGLISH), "h": lambda: f"{self.word()}-{self.word(1, 2)}{r.choice(['-ag', '-kg', '-se', '-e-v', ''])}", "x": self.plain,
         }[key]()
 
     def plain(self) -> str:
@@ -458,7 +523,7 @@ class _Maker:
             out += template[last : m.start()]
             last = m.end()
             if m[1] in _SLOT:
-                text = {"E": self.mail, "P": self.phone, "I": self.identity, "A": self.address, "N": self.name}[m[1]]()
+                text = {"E": self.mail, "P": self.phone, "I": self.identity, "A": self.address, "F": self.french, "N": self.name}[m[1]]()
                 spans.append((len(out), len(out) + len(text), _SLOT[m[1]]))
                 out += text
             else:
@@ -466,7 +531,7 @@ class _Maker:
         return out + template[last:], spans
 
 
-def rows(copies: int = 12, plain: int = 8, seed: int = 20) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def rows(copies: int = 15, plain: int = 8, seed: int = 20) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Labelled lines: each template `copies` times among plain sentences, each plain sentence `plain` times."""
     maker = _Maker(seed)
     out = []

@@ -178,8 +178,24 @@ def test_a_contact_name_in_a_third_of_the_rows(spark, model):
         assert "Berghold" not in r["description"] + (r["requirements"] or "")
 
 
+def test_a_very_long_line_needs_no_more_memory_than_its_own(model):
+    """The batch of a line of 100,000 tokens beside 2,047 short ones is cut by cells."""
+    import tracemalloc
+
+    long = "Wir suchen dich und das Team " * 16_700 + "Kontakt: Bao Berg, bao@berg.example."
+    lines = [pii._TOKEN.findall(t) for t in [long] + ["Rückfragen: 030 123 45 67"] * 2047]
+    assert len(lines[0]) > 100_000
+    tracemalloc.start()
+    found = model.decode(lines)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20 and found[0] is not None and all(y is not None for y in found)
+
+
 def test_settled_kinds():
-    kinds = lambda t, k: [x[2] for x in pii.settle(t, 0, len(t), k, set())]
+    assert pii.plausible("id_number", "ID card OJ6LRWRTX") and pii.plausible("id_number", "passport no. UY1 YMR GLZ") and not pii.plausible("id_number", "Personalausweis")
+    assert pii.plausible("email", "a.b (at) c dot example") and not pii.plausible("email", "unter @firma_jobs")
+    kinds = lambda t, k: [x[2] for x in pii.settle(t, 0, len(t), k)]
     assert kinds("756.0000.5560.24", "phone") == ["id_number"] and kinds("0174.9091.317", "id_number") == ["phone"]
     assert kinds("Bao Berg und Prof. Dr. Veit Tal", "person_name") == ["person_name"] * 2
     assert kinds("Gartenstraße", "street_address") == [] and kinds("[EMAIL REDACTED]", "email") == []
