@@ -1,17 +1,22 @@
 """Abusive, hateful or sexual content: non-negative positive-unlabelled learning on sentences.
 
 Texts are normalised against disguises (compatibility forms, look-alike letters, invisible signs, digits for letters,
-stretched and spaced words), cut into sentences and hashed into words, word pairs and starred-word signs. Positive are the
-sentences that carry a document that raters confirmed; unlabelled are sentences of a bounded sample of all documents. A
-linear classifier minimises the class-prior-corrected, non-negative risk in numpy; between rounds the carrying sentences of
+stretched and spaced words), cut into sentences and hashed into words, word pairs and starred-word signs: of a batch of
+sentences at once, as flat numpy arrays. Positive are the sentences that carry a document that raters confirmed; a linear
+classifier minimises the class-prior-corrected, non-negative risk in numpy; between rounds the carrying sentences of
 confirmed documents are chosen again by the classifier. A document's score is that of its worst sentence.
 
-Bounds: at most CONFIRMED confirmed documents and SAMPLE unlabelled ones (smallest hashes of their ids) are fitted on; every
-document is scored.
+Which words stand out in confirmed documents is judged against the document frequencies of all documents, counted in one
+aggregation (one row a feature and partition is shuffled, at most 2^BITS numbers reach the driver), and so is the mean
+number of sentences that the class prior needs.
+
+Bounds of the fit: at most CONFIRMED confirmed, CONFIRMED cleared and SAMPLE other documents (smallest hashes of their ids)
+give the rows of the risk estimate; every document is counted and scored.
 
 Defined cases: null, empty and blank texts score 0; raters' labels in any spelling, ties count as confirmed; a repeated
-text gets equal scores under each id; without confirmed documents the built-in examples alone are the positives; very long
-texts are scored whole; an empty table gives an empty result; extra columns are ignored.
+text gets equal scores under each id; without confirmed documents the built-in examples alone are the positives; without
+unlabelled ones the risk of the positives alone is minimised; very long texts are scored whole; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stellwerk.llm.bpe import slices
+
 CONFIRMED, SAMPLE = 4000, 6_000
 BITS = 18
+#: Set by reading documents of the test tables by score: without carrying sentences nearly all stay below 0.06, and most of
+#: those from here on hold one. It is an odds cut of the fitted risk, no calibrated probability.
 THRESHOLD = 0.09
 #: Examples that any corpus' positives are joined by.
 EXAMPLES = """
@@ -41,28 +50,32 @@ Those people are vermin. They all steal and stink. Chase them all out of the cou
 Send me nudes. Suck my dick. Take off your clothes in my office. I want to lick your tits. You get promoted if you sleep with me. Leave your underwear at home. I jerked off thinking of you. Spread your legs for me.
 """.strip()
 _LOOKALIKES = str.maketrans("аеорсухіӏвнкмтԁѕјгαεορυχ", "aeopcyxilbhkmtdsjraeopux")
+_LOOKALIKE = re.compile("[" + "".join(map(chr, _LOOKALIKES)) + "]")
 _LEET = str.maketrans("013457@$", "oieastas")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-_SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .]){3,}[^\W\d_](?!\w)")
+_SPACED = re.compile(r"\b[^\W\d_](?:[ .][^\W\d_]){3,}\b")
 _WORD = re.compile(r"[^\W_]*\*+[\w*]*|[^\W_]+")
 _STRETCH = re.compile(r"([^\W\d])\1{2,}")
+#: Signs that show nothing (format characters) and marks that combine with the letter before (fixed ranges of Unicode).
+_INVISIBLE = re.compile("[\u00ad\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u0600-\u0605\u061c\u064b-\u065f\u06dd\u070f\u08e2\u180b-\u180f\u1ab0-\u1ace\u1dc0-\u1dff\u200b-\u200f\u202a-\u202e\u2060-\u206f\u20d0-\u20f0\u302a-\u302d\ufe00-\ufe0f\ufe20-\ufe2f\ufeff\ufff9-\ufffb\U0001d173-\U0001d17a\U000e0001-\U000e01ef]+")
 
 
 def normalise(text: str) -> str:
     """Lower case with disguises undone as far as they can be."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Mn"))
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
+        text = _INVISIBLE.sub("", text)
     low = text.lower()
-    if not low.isascii():
+    if not low.isascii() and _LOOKALIKE.search(low):
         low = low.translate(_LOOKALIKES)
     low = _SPACED.sub(lambda m: m[0].replace(" ", "").replace(".", ""), low)
-    return _STRETCH.sub(r"\1", low)
+    # looking for three equal letters first costs less than the pattern
+    return _STRETCH.sub(r"\1", low) if any(c * 3 in low for c in set(low)) else low
 
 
-@lru_cache(maxsize=300_000)
 def _word(w: str) -> tuple[int, ...]:
-    """The hashed features of one word; the first stands for it in pairs."""
+    """The hashed features of one word, at most three; the first stands for it in pairs."""
     if "*" in w:
         plain = w.replace("*", "")
         return (zlib.crc32(f"*{w[0]}{len(w)}{w[-1]}".encode()), zlib.crc32(b"*starred"), zlib.crc32(f"*{len(plain) > 0}".encode()))
@@ -79,20 +92,49 @@ def _word(w: str) -> tuple[int, ...]:
     return tuple(out)
 
 
-def places(sentence: str) -> set[int]:
-    """Distinct hashed features of a normalised sentence."""
-    words = [_word(w) for w in _WORD.findall(sentence)]
-    out = [f for w in words for f in w]
-    heads = [w[0] for w in words]
-    out += [(a * 31 + b * 17 + 7) & 0xFFFFFFFF for a, b in zip(heads, heads[1:])]
-    out += [(a * 131 + b * 37 + 11) & 0xFFFFFFFF for a, b in zip(heads, heads[2:])]
-    mask = (1 << BITS) - 1
-    return {f & mask for f in out}
-
-
-def features(sentence: str) -> np.ndarray:
-    """The places in order, as an array."""
-    return np.array(sorted(places(sentence)), np.int64)
+class Hasher:
+    """Words met so far with their features; hashes many sentences at once."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.rows: list[tuple[int, int, int]] = []
+        self.table = np.zeros((0, 3), np.int64)
+
+    def places(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat distinct features of each normalised sentence, in order, and how many each has."""
+        if len(self.index) > 1_000_000:
+            self.__init__()
+        index, ids, sizes = self.index, [], []
+        for s in sentences:
+            words = _WORD.findall(s)
+            sizes.append(len(words))
+            for w in words:
+                i = index.get(w)
+                if i is None:
+                    i = index[w] = len(self.rows)
+                    self.rows.append((*_word(w), -1, -1)[:3])
+                ids.append(i)
+        if len(self.table) < len(self.rows):
+            self.table = np.array(self.rows, np.int64).reshape(-1, 3)
+        words = self.table[np.array(ids, np.int64)] if ids else np.zeros((0, 3), np.int64)
+        owner = np.repeat(np.arange(len(sentences)), np.array(sizes, np.int64))
+        heads = words[:, 0]
+        out, whose = [words.ravel()], [np.repeat(owner, 3)]
+        for step, (a, b, c) in ((1, (31, 17, 7)), (2, (131, 37, 11))):
+            same = owner[step:] == owner[:-step]
+            out.append((heads[:-step] * a + heads[step:] * b + c)[same])
+            whose.append(owner[step:][same])
+        flat, owner = np.concatenate(out), np.concatenate(whose)
+        real = flat >= 0
+        keys = np.sort((owner[real] << BITS) | (flat[real] & ((1 << BITS) - 1)))
+        keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+        return keys & ((1 << BITS) - 1), np.bincount(keys >> BITS, minlength=len(sentences))
+
+
+def features(sentences: list[str]) -> list[np.ndarray]:
+    """The places of each sentence, as arrays."""
+    flat, sizes = Hasher().places(sentences)
+    return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
 def sentences(text: str | None) -> list[str]:
@@ -132,7 +174,7 @@ def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, steps: int = 160, r
     n_p, n_u = max(1, len(positive.sizes)), max(1, len(unlabelled.sizes))
     for step in range(1, steps + 1):
         s_p, s_u = positive.dot(w) + b, unlabelled.dot(w) + b
-        rest = np.log1p(np.exp(np.minimum(s_u, 30))).mean() - prior * np.log1p(np.exp(np.minimum(s_p, 30))).mean()
+        rest = (np.log1p(np.exp(np.minimum(s_u, 30))).sum() / n_u - prior * np.log1p(np.exp(np.minimum(s_p, 30))).sum() / n_p) if len(s_u) else 0.0
         up_p, up_u = prior * _sigmoid(s_p) / n_p, _sigmoid(s_u) / n_u  # slopes of the losses as negatives
         if rest >= -slack:
             g_p, g_u = -prior * _sigmoid(-s_p) / n_p - up_p, up_u
@@ -146,57 +188,91 @@ def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, steps: int = 160, r
     return w, b
 
 
+class Corpus:
+    """Over all documents: in how many each feature stands, the number of documents that hold sentences, and of sentences."""
+
+    def __init__(self, counts: np.ndarray, documents: int, sentences: int):
+        self.counts, self.documents, self.sentences = counts, documents, sentences
+
+    @classmethod
+    def of(cls, texts: list[str | None], hasher: Hasher | None = None) -> Corpus:
+        cut = [ss for ss in map(sentences, texts) if ss]
+        flat, sizes = (hasher or Hasher()).places([s for ss in cut for s in ss])
+        parts = np.array(list(map(len, cut)), np.int64)
+        owner = np.repeat(np.repeat(np.arange(len(cut)), parts), sizes)
+        once = np.unique((owner << BITS) | flat)
+        return cls(np.bincount(once & ((1 << BITS) - 1), minlength=1 << BITS), len(cut), int(parts.sum()))
+
+
+def corpus_counts(documents: DataFrame) -> Corpus:
+    """The counts of all documents: summed within each partition, then one row a feature and partition is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, docs, parts, hasher = np.zeros(1 << BITS, np.int64), 0, 0, Hasher()
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in slices(texts):
+                c = Corpus.of(texts[a:b], hasher)
+                total += c.counts
+                docs, parts = docs + c.documents, parts + c.sentences
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2].astype(np.int32)), pa.array(np.r_[total[at], docs, parts])], ["feature", "n"])
+
+    rows = documents.select("text").filter("text is not null").mapInArrow(run, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    got = rows.toArrow()  # at most 2^BITS + 2 rows
+    feature, n = np.asarray(got["feature"]), np.asarray(got["n"])
+    out = np.zeros((1 << BITS) + 2, np.int64)
+    out[feature] = n
+    return Corpus(out[: 1 << BITS], int(out[-1]), int(out[-2]))
+
+
 class Classifier:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.astype(np.float32), float(bias)
-        self._list: list[float] = []
+        self._hasher = Hasher()
         self._seen: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_list": [], "_seen": {}}
-
-    def score_sentence(self, sentence: str) -> float:
-        """Log odds of a normalised sentence; sentences of templates come again and again, so scores are kept for a while."""
-        if sentence not in self._seen:
-            if not self._list:
-                self._list = self.weights.tolist()
-            if len(self._seen) > 100_000:
-                self._seen.clear()
-            ids = places(sentence)
-            self._seen[sentence] = sum(map(self._list.__getitem__, ids)) / max(1, len(ids)) ** 0.5 + self.bias
-        return self._seen[sentence]
+        return self.__dict__ | {"_hasher": Hasher(), "_seen": {}}
+
+    def score_sentences(self, new: list[str]) -> np.ndarray:
+        """Log odds of normalised sentences."""
+        ids, sizes = self._hasher.places(new)
+        sums = np.bincount(np.repeat(np.arange(len(new)), sizes), self.weights[ids], len(new))
+        return sums / np.sqrt(np.maximum(sizes, 1)) + self.bias
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """Scores of texts. Sentences of templates come again and again, so their log odds are kept for a while."""
+        if len(self._seen) > 300_000:
+            self._seen = {}
+        seen, cut = self._seen, [sentences(t) for t in texts]
+        new = list({s for ss in cut for s in ss if s not in seen})
+        seen.update(zip(new, self.score_sentences(new).tolist()))
+        best = [max([seen[s] for s in ss], default=None) for ss in cut]
+        return [0.0 if x is None else 1 / (1 + math.exp(-min(30.0, max(-30.0, x)))) for x in best]
 
     def score(self, text: str | None) -> float:
-        best = max(map(self.score_sentence, sentences(text)), default=None)
-        return 0.0 if best is None else 1 / (1 + math.exp(-min(30.0, max(-30.0, best))))
+        return self.scores([text])[0]
 
     @classmethod
-    def fit(cls, confirmed: list[str], cleared: list[str], sample: list[str], rounds: int = 2) -> Classifier:
-        """confirmed, cleared: texts that raters found toxic or not; sample: texts of all kinds."""
-        known: dict[str, np.ndarray] = {}
-
-        def rows(texts: list[str]) -> list[list[str]]:
-            out = [sentences(t) for t in texts]
-            for ss in out:
-                for s in ss:
-                    if s not in known:
-                        known[s] = features(s)
-            return out
-
-        bad, good, all_rows = rows(confirmed), rows(cleared), rows(sample)
-        examples = [features(s) for s in sentences(EXAMPLES)]
+    def fit(cls, confirmed: list[str], cleared: list[str], sample: list[str], corpus: Corpus | None = None, rounds: int = 2) -> Classifier:
+        """confirmed, cleared: texts that raters found toxic or not; sample: texts of all kinds; corpus: counts over all documents (else of the sample)."""
+        bad, good, all_rows = ([sentences(t) for t in texts] for texts in (confirmed, cleared, sample))
+        corpus = corpus or Corpus.of(sample + cleared)
+        distinct = list(dict.fromkeys(s for ss in bad + good + all_rows for s in ss))
+        known = dict(zip(distinct, features(distinct)))
+        examples = features(sentences(EXAMPLES))
         # rate of toxic documents among rated ones, drawn towards 3 % where few are rated
         share = (len(confirmed) + 0.03 * 50) / (len(confirmed) + len(cleared) + 50)
         fine = {s for ss in good for s in ss}
         pool = [s for ss in all_rows for s in ss] + [s for ss in good for s in ss]
         unlabelled = Rows([known[s] for s in pool])
-        prior = min(0.3, share * len(all_rows) / max(1, len(pool))) or 0.01
+        prior = min(0.3, share * corpus.documents / max(1, corpus.sentences)) or 0.01
         # round 0: in each confirmed document, words that stand far more often in confirmed than in other documents
-        n_bad, n_all = max(1, len(bad)), max(1, len(all_rows) + len(good))
+        n_bad, n_all = max(1, len(bad)), max(1, corpus.documents)
         c_bad = np.bincount(np.concatenate([np.unique(np.concatenate([known[s] for s in ss])) for ss in bad if ss] or [np.zeros(0, np.int64)]), minlength=1 << BITS)
-        c_all = np.bincount(np.concatenate([np.unique(np.concatenate([known[s] for s in ss])) for ss in all_rows + good if ss] or [np.zeros(0, np.int64)]), minlength=1 << BITS)
         c_good = np.bincount(np.concatenate([np.unique(np.concatenate([known[s] for s in ss])) for ss in good if ss] or [np.zeros(0, np.int64)]), minlength=1 << BITS)
-        odds = np.log((c_bad + 0.1) / n_bad / ((c_all + c_good * n_all / max(1, len(good)) * 0.5 + 1.0) / n_all))
+        odds = np.log((c_bad + 0.1) / n_bad / ((corpus.counts + c_good * n_all / max(1, len(good)) * 0.5 + 1.0) / n_all))
         first, bias0 = fit_nnpu(Rows(examples), unlabelled, prior, 60)
         weights, bias = first + 0.6 * np.where(c_bad >= 2, odds, np.minimum(odds, 0)), bias0
         value = lambda s, w: float(w[known[s]].sum() / max(1, len(known[s])) ** 0.5)
@@ -232,13 +308,14 @@ def fitted(documents: DataFrame, labels: DataFrame) -> Classifier:
     parts = parts.unionByName(some(documents.select("doc_id"), SAMPLE).withColumn("part", F.lit("any")))
     rows = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(parts), "doc_id").select("part", "doc_id", "text").collect()
     rows = sorted(set(map(tuple, rows)))
-    return _fit(*(tuple(t for p, _, t in rows if p == kind) for kind in ("bad", "good", "any")))
+    corpus = corpus_counts(documents)
+    return _fit(*(tuple(t for p, _, t in rows if p == kind) for kind in ("bad", "good", "any")), corpus.counts.tobytes(), corpus.documents, corpus.sentences)
 
 
 @lru_cache(maxsize=2)
-def _fit(confirmed: tuple[str, ...], cleared: tuple[str, ...], sample: tuple[str, ...]) -> Classifier:
-    """The classifier of these texts, fitted once in a driver process."""
-    return Classifier.fit(list(confirmed), list(cleared), list(sample))
+def _fit(confirmed: tuple[str, ...], cleared: tuple[str, ...], sample: tuple[str, ...], counts: bytes, n_documents: int, n_sentences: int) -> Classifier:
+    """The classifier of these texts and counts, fitted once in a driver process."""
+    return Classifier.fit(list(confirmed), list(cleared), list(sample), Corpus(np.frombuffer(counts, np.int64), n_documents, n_sentences))
 
 
 def scored(documents: DataFrame, classifier: Classifier, kept: tuple[str, ...] = ()) -> DataFrame:
@@ -248,7 +325,8 @@ def scored(documents: DataFrame, classifier: Classifier, kept: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [sent.value.score(t) for t in batch.column(len(rest) + 1).to_pylist()]
+            texts = batch.column(len(rest) + 1).to_pylist()
+            scores = [x for a, b in slices(texts) for x in sent.value.scores(texts[a:b])]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest) + 1], pa.array(scores, pa.float64())], ["doc_id", *rest, "score"])
 
     schema = "doc_id bigint" + "".join(f", `{c}` {documents.schema[c].dataType.simpleString()}" for c in rest) + ", score double"

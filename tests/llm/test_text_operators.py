@@ -246,7 +246,9 @@ def test_recurrence_counts_keys(spark):
 def test_disguises():
     assert toxic.normalise("Du P e n n e r, Trоttellll!") == "du penner, trotel!" or toxic.normalise("Du P e n n e r") == "du penner"
     assert toxic.normalise("Dr​ecksack") == "drecksack" and toxic.normalise("v.o.l.l.i.d") == "vollid"
-    assert set(toxic.features("p3nn3r")) & set(toxic.features("penner"))
+    a, b, c = toxic.features(["p3nn3r", "penner", "du p3nn3r du"])
+    assert set(a) & set(b) and set(a) < set(c)
+    assert [len(x) for x in toxic.features(["", "a a a a", "..."])] == [0, 3, 0] and toxic.features([]) == []
 
 
 def test_nonnegative_risk_learns_from_positive_and_unlabelled():
