@@ -37,6 +37,8 @@ from stellwerk.llm.bpe import slices
 
 CONFIRMED, SAMPLE = 4000, 6_000
 BITS = 18
+#: Share of documents that smooths the document frequency of a feature.
+RARE = 1.5e-4
 #: Set by reading documents of the test tables by score: without carrying sentences nearly all stay below 0.06, and most of
 #: those from here on hold one. It is an odds cut of the fitted risk, no calibrated probability.
 THRESHOLD = 0.09
@@ -267,12 +269,15 @@ class Classifier:
         fine = {s for ss in good for s in ss}
         pool = [s for ss in all_rows for s in ss] + [s for ss in good for s in ss]
         unlabelled = Rows([known[s] for s in pool])
-        prior = min(0.3, share * corpus.documents / max(1, corpus.sentences)) or 0.01
+        # one carrying sentence a toxic document; cleared documents add sentences to the pool, but none of these
+        prior = min(0.3, share * corpus.documents / max(1, corpus.sentences) * sum(map(len, all_rows)) / max(1, len(pool))) or 0.01
         # round 0: in each confirmed document, words that stand far more often in confirmed than in other documents
         n_bad, n_all = max(1, len(bad)), max(1, corpus.documents)
         c_bad = np.bincount(np.concatenate([np.unique(np.concatenate([known[s] for s in ss])) for ss in bad if ss] or [np.zeros(0, np.int64)]), minlength=1 << BITS)
         c_good = np.bincount(np.concatenate([np.unique(np.concatenate([known[s] for s in ss])) for ss in good if ss] or [np.zeros(0, np.int64)]), minlength=1 << BITS)
-        odds = np.log((c_bad + 0.1) / n_bad / ((corpus.counts + c_good * n_all / max(1, len(good)) * 0.5 + 1.0) / n_all))
+        # the smoothing is a rate, not a count, so that a word's odds do not depend on the size of the corpus
+        elsewhere = corpus.counts / n_all + 0.5 * c_good / max(1, len(good)) + RARE
+        odds = np.log((c_bad + 0.1) / n_bad / elsewhere)
         first, bias0 = fit_nnpu(Rows(examples), unlabelled, prior, 60)
         weights, bias = first + 0.6 * np.where(c_bad >= 2, odds, np.minimum(odds, 0)), bias0
         value = lambda s, w: float(w[known[s]].sum() / max(1, len(known[s])) ** 0.5)
