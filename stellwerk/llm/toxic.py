@@ -54,7 +54,7 @@ Send me nudes. Suck my dick. Take off your clothes in my office. I want to lick
 _LOOKALIKES = str.maketrans("аеорсухіӏвнкмтԁѕјгαεορυχ", "aeopcyxilbhkmtdsjraeopux")
 _LOOKALIKE = re.compile("[" + "".join(map(chr, _LOOKALIKES)) + "]")
 _LEET = str.maketrans("013457@$", "oieastas")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+_SENTENCE = re.compile(r"[.!?]\s+|\n+")
 _SPACED = re.compile(r"\b[^\W\d_](?:[ .][^\W\d_]){3,}\b")
 _WORD = re.compile(r"[^\W_]*\*+[\w*]*|[^\W_]+")
 _STRETCH = re.compile(r"([^\W\d])\1{2,}")
@@ -67,7 +67,7 @@ def normalise(text: str) -> str:
     if not text.isascii():
         if not unicodedata.is_normalized("NFKC", text):
             text = unicodedata.normalize("NFKC", text)
-        text = _INVISIBLE.sub("", text)
+        text = _INVISIBLE.sub("", text.lower())
     low = text.lower()
     if not low.isascii() and _LOOKALIKE.search(low):
         low = low.translate(_LOOKALIKES)
@@ -199,10 +199,15 @@ class Corpus:
     @classmethod
     def of(cls, texts: list[str | None], hasher: Hasher | None = None) -> Corpus:
         cut = [ss for ss in map(sentences, texts) if ss]
-        flat, sizes = (hasher or Hasher()).places([s for ss in cut for s in ss])
+        index: dict[str, int] = {}
+        which = np.array([index.setdefault(s, len(index)) for ss in cut for s in ss], np.int64)
+        flat, sizes = (hasher or Hasher()).places(list(index))  # each distinct sentence once
         parts = np.array(list(map(len, cut)), np.int64)
-        owner = np.repeat(np.repeat(np.arange(len(cut)), parts), sizes)
-        once = np.unique((owner << BITS) | flat)
+        wide = sizes[which]
+        owner = np.repeat(np.repeat(np.arange(len(cut)), parts), wide)
+        place = np.repeat((np.cumsum(sizes) - sizes)[which] - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
+        once = np.sort((owner << BITS) | flat[place])
+        once = once[np.r_[True, once[1:] != once[:-1]]] if len(once) else once
         return cls(np.bincount(once & ((1 << BITS) - 1), minlength=1 << BITS), len(cut), int(parts.sum()))
 
 
