@@ -119,6 +119,20 @@ def test_counts_against_brute_force(spark):
     assert cooccur.associated_pairs(df.limit(0), dim).count() == 0
 
 
+def test_long_lists_are_counted_sparsely_with_equal_results(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [f"s{i}" for i in range(40)]
+    rows = [(f"j{i}", rng.sample(items, rng.randint(0, 12)) * rng.randint(1, 2)) for i in range(300)]
+    df, dim = spark.createDataFrame(rows, "job_id string, skill_ids array<string>"), spark.createDataFrame([(i,) for i in items], "skill_id string")
+    rounded = lambda rows: {(r["skill_a"], r["skill_b"]): (r["n_ab"], r["n_a"], r["n_all"], round(r["expected"], 9), round(r["p_value"], 9), round(r["q_value"], 9)) for r in rows}
+    want = rounded(cooccur.associated_pairs(df, dim).collect())
+    p = np.array([v[4] for v in want.values()])
+    assert np.allclose(cooccur.false_discovery(p, 40 * 39 // 2), [v[5] for v in want.values()], atol=1e-6)
+    for name, value in (("MOST_ITEMS", 10), ("LITERALS", 5), ("CELLS", 50)):
+        monkeypatch.setattr(cooccur, name, value)
+    assert rounded(cooccur.associated_pairs(df, dim).collect()) == want
+
+
 def test_null_keeps_counts_and_sizes():
     rng = np.random.default_rng(1)
     m = (rng.random((400, 12)) < rng.uniform(0.05, 0.5, 12)).astype(int)
