@@ -50,7 +50,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Letters of few languages; they count like words.
 _MARK = re.compile("[ąćęłńśźżàèéêçùœîôëßï]")
 _BREAK = re.compile(r"\r\n|[\n\r  \u0085\v\f]")
-_DECLARED = re.compile(r"<[^<>]{0,80}?\blang\s*=\s*[\"']?([A-Za-z]{2})", re.I)
+_DECLARED = re.compile(r"<[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]{2})", re.I)
 
 
 def language_of_label(label: Column) -> Column:
@@ -142,8 +142,8 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def fitted(jobs: DataFrame, labelled: DataFrame, text: str = "description") -> WordModel:
     """The word model from at most SAMPLE labelled postings, the same ones at every run."""
     ids = labelled.select("job_id").distinct().withColumn("h", F.xxhash64("job_id")).orderBy("h", "job_id").limit(SAMPLE)
-    rows = jobs.filter(F.col(text).isNotNull()).join(F.broadcast(ids.select("job_id")), "job_id", "left_semi").select("job_id", text).limit(2 * SAMPLE).collect()
-    return WordModel.fit([r[1] for r in sorted(dict((r[0], r) for r in rows).values())])
+    rows = jobs.filter(F.col(text).isNotNull()).join(F.broadcast(ids.select("job_id")), "job_id", "left_semi").groupBy("job_id").agg(F.min(text)).collect()
+    return WordModel.fit([r[1] for r in sorted(rows)])
 
 
 def text_evidence(jobs: DataFrame, model: WordModel, key: str = "job_id", text: str = "description") -> DataFrame:
@@ -172,9 +172,10 @@ def text_evidence(jobs: DataFrame, model: WordModel, key: str = "job_id", text:
 
 
 def host_priors(evidence: DataFrame) -> DataFrame:
-    """``host, source, prior`` (log probabilities): counts of a host smoothed towards its source, and those towards the corpus."""
+    """``host, source, prior`` (log probabilities): counts of a host smoothed towards its source, and those towards the corpus. A posting counts once."""
     names = [f"n_{x}" for x in LANGS]
-    hosts = evidence.groupBy("host", "source").agg(*[F.sum(n).cast("double").alias(n) for n in names])
+    once = evidence.groupBy("key").agg(F.min(F.struct("host", "source", *names)).alias("r")).select("r.*")
+    hosts = once.groupBy("host", "source").agg(*[F.sum(n).cast("double").alias(n) for n in names])
     sources = hosts.groupBy("source").agg(*[F.sum(n).alias(f"s_{n}") for n in names])
     corpus = hosts.agg(*[(F.coalesce(F.sum(n), F.lit(0.0)) + 1.0).alias(f"g_{n}") for n in names])
     total = lambda prefix: sum((F.col(f"{prefix}{n}") for n in names[1:]), F.col(f"{prefix}{names[0]}"))
@@ -240,8 +241,9 @@ def all_paragraphs(jobs: DataFrame, manifest: DataFrame, gold: DataFrame) -> Dat
     """Every posting's paragraphs with language and confidence, once per posting."""
     rows = labelled_rows(manifest, gold)
     evidence = written_table(text_evidence(jobs, fitted(jobs, rows)), "language")
-    once = evidence.dropDuplicates(["key"])
-    return languages(once, host_priors(once)).withColumnRenamed("key", "job_id")
+    columns = ("host", "source", "declared", "logs")
+    once = evidence.groupBy("key").agg(F.min(F.struct(*columns)).alias("r")).select("key", "r.*")
+    return languages(once, host_priors(evidence)).withColumnRenamed("key", "job_id")
 
 
 def wrong_labels(jobs: DataFrame, manifest: DataFrame, gold: DataFrame) -> DataFrame:
