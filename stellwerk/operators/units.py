@@ -6,7 +6,7 @@ score that depends on the field it stands in (the prior of the field's dimension
 thousand, and ``t`` in ``tag`` is not.
 
 Defined cases: a null amount gives no row; a null, empty or blank unit says nothing; contradicting statements in the text
-lose against the field; repeated rows give equal rows, which count once; an empty table gives an empty result; extra
+lose against the field; an amount that is no number, or too large for 64 bits in euros, has null euros; repeated rows give equal rows, which count once; an empty table gives an empty result; extra
 columns are ignored.
 """
 
@@ -48,6 +48,10 @@ NOISE = ("brutto", "gross", "netto", "k. a.", "k.a.", "n/a", "von", "ab", "from"
 PRIORS = {"currency": {"currency": 0.0, "period": -2.0}, "period": {"currency": -2.0, "period": 0.0}, "text": {"currency": 0.0, "period": 0.0}}
 
 
+#: From here on no rate brings an amount back into 64 bits.
+BEYOND = 1e25
+
+
 @dataclass(frozen=True)
 class Unit:
     """What a unit string states; None where it says nothing."""
@@ -162,16 +166,25 @@ def amounts(text: str) -> Iterator[tuple[Decimal, int, int]]:
         yield Decimal(raw.replace(",", ".")), m.start(), m.end()
 
 
-def beside(text: str, amount: Decimal, reach: int = 48) -> Unit:
-    """The unit stated next to this amount: in the sentence after it, or directly before it."""
+def _left(text: str, start: int) -> int:
+    """Where the words before an amount begin: after a sign, a number, a line break or a wide gap."""
+    i = start
+    while i and text[i - 1] not in ".,;:!?\n" and not text[i - 1].isdigit() and not (text[i - 1].isspace() and text[i - 2 : i - 1].isspace()):
+        i -= 1
+    return i
+
+
+def beside(text: str, amount: Decimal) -> Unit:
+    """The unit stated next to this amount: in its sentence up to the next number, or before it back to a sign or number. The nearest word of a dimension counts."""
     found: dict[str, str | None] = {}
     for value, start, end in amounts(text):
         if value != amount:
             continue
-        after = _SENTENCE.split(text[end : end + reach] + " ", maxsplit=1)[0]
+        stop = _SENTENCE.search(text, end)
+        after = text[end : stop.start() if stop else len(text)]
         after = re.split(r"\d", after, maxsplit=1)[0] if not re.match(r"\s*[x(]", after) else after
         unit = segment(after, "text")
-        before = segment(re.split(r"[\d.,;:!?\n]|\s{2,}", text[max(0, start - 14) : start])[-1].strip(), "text")
+        before = segment(text[_left(text, start) : start].strip(), "text")
         for name in ("currency", "period", "scale"):
             value_of = getattr(unit, name) or (getattr(before, name) if name != "period" else None)
             if value_of and not found.get(name):
@@ -203,8 +216,9 @@ def to_common_unit(df: DataFrame, rates: DataFrame, key: str = "job_id", amount:
             for v, c, p, t in zip(values, cur, per, txt):
                 u, eur = resolve(v, c, p, t), None
                 parts = [factors.get(("currency", u.currency)), factors.get(("period", u.period)), factors.get(("scale", u.scale or "one"), Decimal(1))]
-                if None not in parts and v == v and abs(v) < 1e15:
+                if None not in parts and abs(v) < BEYOND:  # not for NaN
                     eur = int((Decimal(repr(float(v))) * parts[0] * parts[1] * parts[2]).quantize(Decimal(1), ROUND_HALF_UP))
+                    eur = eur if abs(eur) < 1 << 63 else None
                 out.append((u.currency, u.period, u.scale, eur))
             cols = [list(x) for x in zip(*out)] or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], ["key", "currency", "period", "scale", "eur_per_year"])

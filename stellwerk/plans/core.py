@@ -23,5 +23,20 @@ def p2_amounts(spark: SparkSession, d: str) -> DataFrame:
     return units.to_common_unit(table(spark, d, "jobs"), table(spark, d, "unit_rates")).distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_amounts)} | reports.QUERIES
-SQL: dict[str, str] = dict(reports.SQL)
+def p2_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts whose two fields name units of unit_rates as they stand there (case and blanks apart), read from the fields alone."""
+    jobs = table(spark, d, "jobs", "job_id", "salary_min", "salary_currency", "salary_period").withColumn("description", F.lit(None).cast("string"))
+    units_ = lambda kind, field: F.broadcast(table(spark, d, "unit_rates").filter(F.col("unit_kind") == kind).select(F.lower("unit").alias(field)))
+    named = jobs.withColumns({"c": F.lower(F.trim("salary_currency")), "p": F.lower(F.trim("salary_period"))}).join(units_("currency", "c"), "c").join(units_("period", "p"), "p")
+    return units.to_common_unit(named, table(spark, d, "unit_rates")).select("job_id", "currency", "period", "eur_per_year").distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_amounts, p2_fields)} | reports.QUERIES
+SQL: dict[str, str] = {
+    "p2_fields": """
+        SELECT DISTINCT j.job_id, c.unit AS currency, p.unit AS period, CAST(round(CAST(j.salary_min AS DECIMAL(18, 4)) * CAST(c.factor AS DECIMAL(10, 6)) * CAST(p.factor AS DECIMAL(10, 4))) AS BIGINT) AS eur_per_year
+        FROM jobs j
+        JOIN unit_rates c ON c.unit_kind = 'currency' AND lower(c.unit) = lower(trim(j.salary_currency))
+        JOIN unit_rates p ON p.unit_kind = 'period' AND lower(p.unit) = lower(trim(j.salary_period))
+        WHERE j.salary_min IS NOT NULL AND j.job_id IS NOT NULL""",
+} | reports.SQL

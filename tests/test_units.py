@@ -64,3 +64,17 @@ def test_conversion(spark):
     out = {(r["job_id"], r["eur_per_year"]) for r in to_common_unit(spark.createDataFrame(rows, SCHEMA), rates).collect()}
     assert out == {("a", 36000), ("b", 52054), ("c", 50000), ("e", None), ("f", None)}
     assert to_common_unit(spark.createDataFrame([], SCHEMA), rates).count() == 0
+
+
+def test_a_unit_far_from_its_amount_is_read_in_its_sentence():
+    far = "Wir zahlen 44000 und das ist für Sie und für uns alle hier bei uns am Standort ganz sicher viel, in Euro pro Jahr. Der Rest kostet 5 Dollar."
+    assert beside(far, Decimal(44000)) == Unit("EUR", "year", None)
+    assert beside("Unser Gehalt in Schweizer Franken liegt bei 44000 im Monat.", Decimal(44000)).period == "month"
+    assert beside("x" * 100_000 + " 44000 EUR p. a. " + "y" * 100_000, Decimal(44000)).currency == "EUR"
+
+
+def test_amounts_beyond_the_range_have_no_euros(spark):
+    rates = spark.createDataFrame([("currency", "EUR", 1.0), ("period", "year", 1.0)], "unit_kind string, unit string, factor double")
+    rows = [("a", 2e15), ("b", 1e19), ("c", 1e300), ("d", float("nan")), ("e", float("inf"))]
+    df = spark.createDataFrame([(k, v, "EUR", "year", None) for k, v in rows], "job_id string, salary_min double, salary_currency string, salary_period string, description string")
+    assert {r["job_id"]: r["eur_per_year"] for r in to_common_unit(df, rates).collect()} == {"a": 2 * 10**15, "b": None, "c": None, "d": None, "e": None}
