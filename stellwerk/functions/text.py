@@ -21,8 +21,6 @@ WORDS = r"[a-zäöüß]+"
 GERMAN = ("und", "der", "die", "das", "mit", "für", "von", "sie", "wir", "ihre", "oder", "ein")
 ENGLISH = ("and", "the", "with", "for", "you", "we", "your", "or", "of", "to", "a", "our")
 GUESS_PREFIX = 1500
-#: Entities that `clean` resolves without Python; the ampersand is last, so that nothing is resolved twice.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#64;", "@"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&szlig;", "ß"), ("&euro;", "€"), ("&amp;", "&"))
 
 
 def unescape(value: Column) -> Column:
@@ -34,14 +32,10 @@ def unescape(value: Column) -> Column:
     return pandas_udf(run, "string")(value)
 
 
-def clean(value: Column, full: bool = False) -> Column:
-    """Entities resolved, then tags replaced by blanks, white space collapsed, trimmed; empty becomes null."""
+def clean(value: Column) -> Column:
+    """Entities resolved (all of HTML5; only values with an ampersand go to Python), then tags replaced by blanks, white space collapsed, trimmed; empty becomes null."""
     s = value.cast("string")
-    if full:
-        s = F.when(s.contains("&"), unescape(s)).otherwise(s)
-    else:
-        for entity, char in ENTITIES:
-            s = F.replace(s, F.lit(entity), F.lit(char))
+    s = F.coalesce(unescape(F.when(s.contains("&"), s)), s)
     s = F.trim(F.regexp_replace(F.regexp_replace(s, TAG, " "), SPACE, " "))
     return F.nullif(s, F.lit(""))
 

@@ -72,7 +72,8 @@ def pair_lines(lines: DataFrame, value: str = "value", order: str = "pos") -> Da
     for f in fields[2:]:
         reason = reason.when(~ok(f), f"missing_{f}")
     r = t.select(F.col(order).alias("pos"), get["segment_id"].alias("segment_id"), get["direction"].alias("direction"), reason.alias("reason"))
-    n = F.row_number().over(Window.partitionBy("segment_id", F.col("reason").isNull()).orderBy("pos"))
+    # only valid lines compete for an id; the others, however many lack one, are spread by their place
+    n = F.row_number().over(Window.partitionBy(F.when(F.col("reason").isNull(), F.col("segment_id")), F.when(F.col("reason").isNotNull(), F.col("pos"))).orderBy("pos"))
     return r.withColumn("n", n).select("pos", "segment_id", "direction", F.when(F.col("reason").isNull() & (F.col("n") > 1), "duplicate_segment_id").otherwise(F.col("reason")).alias("reason"))
 
 
@@ -109,12 +110,21 @@ def outside_manifest(annotations: DataFrame, manifest: DataFrame) -> DataFrame:
     return annotations.select("job_id").distinct().join(manifest.select("job_id").distinct(), "job_id", "left_anti")
 
 
-def progress(annotations: DataFrame, manifest: DataFrame) -> DataFrame:
-    """``annotator, split, done, total``: reviewed postings of each annotator and split."""
+def progress(annotations: DataFrame, manifest: DataFrame, pilot: DataFrame | None = None) -> DataFrame:
+    """``annotator, split, done, total, remaining`` of each annotator and split, and ``pilot_remaining`` (of all splits) where a pilot is given."""
     m = manifest.select("job_id", "split").distinct()
     totals = m.groupBy("split").agg(F.countDistinct("job_id").alias("total"))
-    done = annotations.filter("skills is not null").select("annotator", "job_id").distinct().join(m, "job_id").groupBy("annotator", "split").agg(F.countDistinct("job_id").alias("done"))
-    return done.join(F.broadcast(totals), "split").select("annotator", "split", "done", "total")
+    reviewed = annotations.filter("skills is not null").select("annotator", "job_id").distinct()
+    done = reviewed.join(m, "job_id").groupBy("annotator", "split").agg(F.countDistinct("job_id").alias("done"))
+    every = reviewed.select("annotator").distinct().join(F.broadcast(totals.agg(F.collect_list("split").alias("s")))).select("annotator", F.explode("s").alias("split"))  # an annotator may have begun one split only
+    out = every.join(done, ["annotator", "split"], "left").join(F.broadcast(totals), "split").withColumn("done", F.coalesce("done", F.lit(0)))
+    out = out.select("annotator", "split", "done", "total", (F.col("total") - F.col("done")).alias("remaining"))
+    if pilot is None:
+        return out
+    p = pilot.select("job_id").distinct()
+    seen = reviewed.join(p, "job_id").groupBy("annotator").agg(F.count(F.lit(1)).alias("_seen"))
+    size = p.agg(F.count(F.lit(1)).alias("_pilot"))
+    return out.join(seen, "annotator", "left").join(F.broadcast(size)).select(*out.columns, (F.col("_pilot") - F.coalesce("_seen", F.lit(0))).alias("pilot_remaining"))
 
 
 def annotations_from_csv(rows: DataFrame, annotator: str) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BOOTSTRAP = 1000
+#: Grades of judged postings (fixed domain), and fully judged queries that a comparison needs.
+GRADES, LEAST_QUERIES = (0, 1, 2, 3), 20
+METRICS = ("precision_at_k", "recall_at_k_pooled", "mrr", "ndcg_at_k")
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -71,15 +74,57 @@ def binary_ranking(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
 
 def graded_ranking(ranked: DataFrame, grades: DataFrame, k: int, relevant: int = 2) -> DataFrame:
     """As above with grades: gain 2^g - 1, the ideal over all judged grades, relevant from grade `relevant`; unjudged counts as 0."""
-    best = grades.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "job_id")))
     gain = lambda c: F.pow(F.lit(2.0), c) - 1
-    ideal = best.groupBy("query_id").agg(F.count_if(F.col("grade") >= relevant).alias("n_rel"), F.sum(F.when(F.col("r") <= k, gain(F.col("grade")) / F.log2(F.col("r") + 1.0)).otherwise(0.0)).alias("idcg"))
+    # the ideal order needs only how many postings have each grade: no sort of all judged postings of a query
+    counted = grades.groupBy("query_id").agg(F.count_if(F.col("grade") >= relevant).alias("n_rel"), *[F.count_if(F.col("grade") >= g).alias(f"n{g}") for g in GRADES[1:]])
+    at = lambda i: sum((F.when(i <= F.col(f"n{g}"), float(2 ** (g - 1))).otherwise(0.0) for g in GRADES[1:]), F.lit(0.0))
+    ideal = counted.withColumn("idcg", F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(0.0), lambda s, i: s + at(i) / F.log2(i + 1.0)))
     top = ranked.filter(F.col("rank") <= k).join(grades, ["query_id", "job_id"])
     got = top.groupBy("query_id").agg(F.count_if(F.col("grade") >= relevant).alias("hits"), F.min(F.when(F.col("grade") >= relevant, F.col("rank"))).alias("first"), F.sum(gain(F.col("grade")) / F.log2(F.col("rank") + 1.0)).alias("dcg"))
-    j = ideal.join(got, "query_id", "left").fillna(0, ["hits"]).fillna(0.0, ["dcg"])
+    j = ideal.select("query_id", "n_rel", "idcg").join(got, "query_id", "left").fillna(0, ["hits"]).fillna(0.0, ["dcg"])
     return j.select("query_id", (F.col("hits") / k).alias("precision_at_k"), ratio(F.col("hits"), F.col("n_rel")).alias("recall_at_k_pooled"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), ratio(F.col("dcg"), F.col("idcg")).alias("ndcg_at_k"))
 
 
+def macro_means(per_query: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    """``queries_evaluated`` and the mean of each metric over queries, rounded to six digits."""
+    return per_query.agg(F.count(F.lit(1)).alias("queries_evaluated"), *[F.round(F.avg(m), 6).alias(m) for m in metrics])
+
+
+def mean_interval(values: list[float], seed: int, draws: int = BOOTSTRAP) -> tuple[float, float, float]:
+    """Mean and 95 % percentile interval of the mean over resampled queries."""
+    rng = random.Random(seed)
+    means = sorted(sum(rng.choices(values, k=len(values))) / len(values) for _ in range(draws))
+    return sum(values) / len(values), means[int(0.025 * draws)], means[int(0.975 * draws) - 1]
+
+
+def matching_report(queries: DataFrame, sheet: DataFrame, pools: DataFrame, k: int, seed: int) -> dict:
+    """The matcher against random draws on judged pools, behind gates.
+
+    queries: ``query_id, source_job_id``; sheet: ``query_id, job_id, grade`` (null: not judged yet); pools: ``query_id, matcher,
+    random``. A sheet row of an unknown query, a grade outside 0 to 3, and a source posting in its own pool are errors. With
+    fewer than LEAST_QUERIES fully judged queries no metric is given.
+    """
+    strange = sheet.join(queries.select("query_id"), "query_id", "left_anti").select("query_id").limit(1).collect()
+    if strange:
+        raise ValueError(f"the sheet judges an unknown query {strange[0][0]}")
+    if sheet.filter(F.col("grade").isNotNull() & ~F.col("grade").isin(*GRADES)).limit(1).count():
+        raise ValueError("a grade is not 0, 1, 2, 3 or null")
+    leak = pools.join(queries.filter("source_job_id is not null").select("query_id", "source_job_id"), "query_id").filter(F.array_contains(F.concat("matcher", "random"), F.col("source_job_id"))).limit(1).collect()
+    if leak:
+        raise ValueError(f"the source posting of {leak[0]['query_id']} stands in its own ranking")
+    whole = sheet.groupBy("query_id").agg(F.count_if(F.col("grade").isNull()).alias("open")).filter("open = 0").select("query_id")
+    out: dict = {"k": k, "minimum_queries": LEAST_QUERIES, "queries_total": queries.count(), "queries_fully_judged": whole.count()}
+    if out["queries_fully_judged"] < LEAST_QUERIES:
+        return out | {"status": "insufficient_labels"}
+    grades = sheet.join(whole, "query_id", "left_semi")
+    out |= {"status": "scored", "systems": {}}
+    for system in ("matcher", "random"):
+        ranked = pools.join(whole, "query_id", "left_semi").select("query_id", F.posexplode(system).alias("at", "job_id")).select("query_id", "job_id", (F.col("at") + 1).alias("rank"))
+        rows = graded_ranking(ranked, grades, k).orderBy("query_id").select(*METRICS).collect()  # one row a query judged by hand
+        out["systems"][system] = {m: mean_interval([r[m] for r in rows], seed) for m in METRICS}
+    return out
+
+
 def bootstrap(counts: list[tuple[int, int, int]], seed: int, draws: int = BOOTSTRAP) -> dict[str, tuple[float, float]]:
     """95 % percentile intervals of micro precision, recall and F1 over resampled postings. Labelled postings are few; runs on the driver."""
     rng = random.Random(seed)

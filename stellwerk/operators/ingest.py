@@ -63,6 +63,20 @@ def coverage(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return rows.select("p.field", "p.non_null", "total", F.coalesce(F.try_divide(F.col("p.non_null").cast("double"), F.col("total").cast("double")), F.lit(0.0)).alias("fraction"))
 
 
+#: Analyses of the weekly report and the fields that they need (fixed values); a job family is in no field.
+ANALYSES = {"publication_week_trends": ("publication_date",), "geographic_trends": ("federal_state",), "remote_work_trends": ("remote_type",), "salary_trends": ("salary_min", "salary_max"), "language_requirements": ("language_requirements",)}
+
+
+def unavailable_analyses(df: DataFrame) -> DataFrame:
+    """``analysis, reason`` of the analyses whose fields hold no value at all. One aggregation."""
+    fields = list(dict.fromkeys(f for fs in ANALYSES.values() for f in fs))
+    some = lambda f: F.size(f) > 0 if df.schema[f].dataType.typeName() == "array" else F.trim(F.col(f).cast("string")) != ""
+    one = df.agg(*[F.count_if(some(f)).alias(f) for f in fields])
+    lost = [F.when(sum((F.col(f) for f in fs[1:]), F.col(fs[0])) == 0, F.struct(F.lit(a).alias("analysis"), F.lit(f"{' and '.join(fs)} {'has' if len(fs) == 1 else 'have'} no populated values").alias("reason"))) for a, fs in ANALYSES.items()]
+    family = F.struct(F.lit("job_family_volume").alias("analysis"), F.lit("no validated job-family field is available").alias("reason"))
+    return one.select(F.explode(F.filter(F.array(*lost, family), lambda x: x.isNotNull())).alias("x")).select("x.analysis", "x.reason")
+
+
 def residual(df: DataFrame, columns: tuple[str, ...] = REDACTED) -> DataFrame:
     """Rows whose text still matches a mail address or a phone number."""
     joined = F.concat_ws(" ", *columns)

@@ -22,15 +22,29 @@ def components(matched: Column, profile_size: Column, job_size: Column) -> dict[
     return {"candidate_skill_precision": F.round(p, DECIMALS), "job_skill_coverage": F.round(c, DECIMALS), "harmonic_f1": F.round(F.coalesce(F.try_divide(2 * p * c, p + c), F.lit(0.0)), DECIMALS)}
 
 
-def rank(sidecar: DataFrame, profile: list[str], k: int, known: set[str] | None = None, excluded: list[str] | None = None) -> DataFrame:
-    """The k best postings of a profile: ``rank, job_id, match_score, ...``. A scan, a filter, and a top-k; k rows reach one task."""
+def check_sidecar(sidecar: DataFrame, known: list[str]) -> None:
+    """An error that names skills of the sidecar which the taxonomy does not have."""
+    strange = sidecar.select(F.explode(F.array_except("skill_ids", F.array(*map(F.lit, known)))).alias("s")).distinct().orderBy("s").limit(10).collect()
+    if strange:
+        raise ValueError(f"the sidecar has skills that are not in the taxonomy: {', '.join(str(r[0]) for r in strange)}")
+
+
+def rank(sidecar: DataFrame, profile: list[str], k: int, known: list[str] | None = None, excluded: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """The k best postings of a profile: ``rank, job_id, match_score, ...``. A scan, a filter, and a top-k; k rows reach one task.
+
+    known: the taxonomy in its order, in which the profile's skills are listed; strict: unknown skills of the sidecar are an error.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
     wanted = list(dict.fromkeys(profile))
     if not wanted:
         raise ValueError("the profile has no skills")
-    if known is not None and (strange := sorted(set(wanted) - known)):
-        raise ValueError(f"the profile has skills that are not in the taxonomy: {', '.join(strange)}")
+    if known is not None:
+        if strange := sorted(set(wanted) - set(known)):
+            raise ValueError(f"the profile has skills that are not in the taxonomy: {', '.join(strange)}")
+        wanted = [s for s in known if s in set(wanted)]
+        if strict:
+            check_sidecar(sidecar, known)
     mine = F.array(*map(F.lit, wanted))
     rows = sidecar.filter(~F.col("job_id").isin(excluded)) if excluded else sidecar
     rows = rows.withColumn("ids", F.array_distinct("skill_ids")).withColumn("m", F.size(F.array_intersect("ids", mine))).filter("m > 0")

@@ -34,7 +34,7 @@ def p2_fields(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_amounts, p2_fields)} | reports.QUERIES
 SQL: dict[str, str] = {
     "p2_fields": """
-        SELECT DISTINCT j.job_id, c.unit AS currency, p.unit AS period, CAST(round(CAST(j.salary_min AS DECIMAL(18, 4)) * CAST(c.factor AS DECIMAL(10, 6)) * CAST(p.factor AS DECIMAL(10, 4))) AS BIGINT) AS eur_per_year
+        SELECT DISTINCT j.job_id, c.unit AS currency, p.unit AS period, CAST(round(CAST(j.salary_min AS DECIMAL(38, 4)) * CAST(c.factor AS DECIMAL(9, 6)) * CAST(p.factor AS DECIMAL(9, 2))) AS BIGINT) AS eur_per_year
         FROM jobs j
         JOIN unit_rates c ON c.unit_kind = 'currency' AND lower(c.unit) = lower(trim(j.salary_currency))
         JOIN unit_rates p ON p.unit_kind = 'period' AND lower(p.unit) = lower(trim(j.salary_period))

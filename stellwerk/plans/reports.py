@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stellwerk.functions import ids, text
 from stellwerk.operators import audits, cohorts, evaluation, ingest, lexicon, matching, sampling, star, vectors
-from stellwerk.session import collect_bounded
+from stellwerk.session import collect_bounded, written_table
 from stellwerk.sources.tables import table
 from stellwerk.sources.writers import dataset_hash
 from stellwerk.streaming import weekly
@@ -114,9 +114,13 @@ def field_coverage(spark, d):
 _CLEAN = "nullif(trim(regexp_replace(regexp_replace({e}, '<[^>]{{1,300}}>', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')), '')"
 
 
+#: Entities that stand in the test tables; `clean_entities` tests others.
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&#64;", "@"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&szlig;", "ß"), ("&euro;", "€"), ("&amp;", "&"))
+
+
 def _clean_sql(column: str) -> str:
     s = column
-    for entity, char in text.ENTITIES:
+    for entity, char in _ENTITIES:
         s = f"replace({s}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
     return _CLEAN.format(e=s)
 
@@ -135,6 +139,13 @@ def clean_fields(spark, d):
     return j.select("job_id", text.clean(F.col("title")).alias("title"), text.clean(F.col("company")).alias("company")).distinct()
 
 
+@query("SELECT skill_id, skill_id || ' Café – ärzte € … &lt; © 5 ≥ x' AS cleaned FROM dim_skill")
+def clean_entities(spark, d):
+    """Named and numbered entities of all kinds, one that is escaped twice, and one without its semicolon."""
+    k = table(spark, d, "dim_skill", "skill_id")
+    return k.select("skill_id", text.clean(F.concat("skill_id", F.lit("<br> Caf&eacute; &ndash; &#228;rzte&nbsp;&#x20AC; &hellip; &amp;lt; &copy 5 &ge; x "))).alias("cleaned"))
+
+
 @query(f"WITH t AS (SELECT DISTINCT job_id, {_clean_sql('description')} AS x FROM jobs) SELECT job_id, {_redact_sql('x')} AS description, coalesce(len(regexp_extract_all(x, '(?i){_MAIL_SQL}')), 0) AS emails, coalesce(len(regexp_extract_all(regexp_replace(x, '{_MAIL_SQL}', '[EMAIL REDACTED]', 'gi'), '{_PHONE_SQL}')), 0) AS phones FROM t")
 def redact_descriptions(spark, d):
     j = table(spark, d, "jobs", "job_id", "description").select("job_id", text.clean(F.col("description")).alias("x")).distinct()
@@ -171,11 +182,23 @@ def first_wins_dedup(spark, d):
 def _records(spark, d):
     """Rows of jobs as raw records under other accepted names, in a declared order."""
     j = table(spark, d, "jobs", "job_id", "title", "company", "location", "description", "source_url", "collection_date").distinct()
-    order = F.xxhash64("job_id", "collection_date")
-    return j.select(order.alias("_pos"), F.when(F.crc32("job_id") % 97 != 0, F.col("title")).alias("job_title"), F.col("company").alias("firm"), F.col("location").alias("about_work"), F.col("description").alias("info_1"), F.col("source_url").alias("oj_id"), F.col("collection_date").cast("string").alias("date_scrape"))
+    order = F.conv(F.substring(F.md5(F.concat("job_id", F.lit("/"), F.coalesce(F.col("collection_date").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("bigint")
+    return j.select(order.alias("_pos"), F.when(~F.md5("job_id").startswith("0"), F.col("title")).alias("job_title"), F.col("company").alias("firm"), F.col("location").alias("about_work"), F.col("description").alias("info_1"), F.col("source_url").alias("oj_id"), F.col("collection_date").cast("string").alias("date_scrape"))
 
 
-@query()
+_JSON_PLACE = "CASE WHEN NOT json_valid(trim({c}, ' ')) THEN {c} WHEN json_type(trim({c}, ' ')) = 'ARRAY' THEN json_extract_string(trim({c}, ' '), '$[0]') WHEN json_type(trim({c}, ' ')) = 'OBJECT' THEN coalesce(json_extract_string({c}, '$.location'), json_extract_string({c}, '$.city')) ELSE NULL END"
+_FIELDS = ("title", "company", "location", "description")
+_MAILS = " + ".join(f"coalesce(len(regexp_extract_all({c}, '(?i){_MAIL_SQL}')), 0)" for c in _FIELDS)
+_PHONES = " + ".join(f"coalesce(len(regexp_extract_all(regexp_replace({c}, '{_MAIL_SQL}', '[EMAIL REDACTED]', 'gi'), '{_PHONE_SQL}')), 0)" for c in _FIELDS)
+#: Raw records cleaned (r1), redacted and counted (r2), with ids and keys (rec).
+_RECORDS = f"""r0 AS (SELECT DISTINCT job_id, title, company, location, description, source_url, collection_date FROM jobs),
+r1 AS (SELECT ('0x' || substr(md5(job_id || '/' || coalesce(CAST(collection_date AS VARCHAR), '')), 1, 15))::BIGINT AS pos, CASE WHEN md5(job_id) NOT LIKE '0%' THEN {_clean_sql('title')} END AS title, {_clean_sql('company')} AS company, {_clean_sql('(' + _JSON_PLACE.format(c='location') + ')')} AS location, {_clean_sql('description')} AS description, {_clean_sql('source_url')} AS url, collection_date FROM r0),
+r2 AS (SELECT pos, url, collection_date, {', '.join(f"{_redact_sql(c)} AS {c}" for c in _FIELDS)}, {_MAILS} AS emails, {_PHONES} AS phones FROM r1),
+rec AS (SELECT *, title IS NOT NULL AS valid, substr(sha256(CASE WHEN url <> '' THEN url ELSE {{content}} END), 1, 24) AS job_id, CASE WHEN url <> '' THEN 'url:' || replace(lower(url), 'ß', 'ss') ELSE 'content:' || sha256({{content}}) END AS dedup FROM r2)"""
+_RECORDS = _RECORDS.replace("{content}", "concat(coalesce(title, ''), chr(31), coalesce(company, ''), chr(31), coalesce(location, ''), chr(31), coalesce(description, ''))")
+
+
+@query(f"WITH {_RECORDS} SELECT job_id, 'raw' AS source, title, company, location, description, collection_date FROM (SELECT *, row_number() OVER (PARTITION BY dedup ORDER BY pos) AS rn FROM rec WHERE valid) WHERE rn = 1")
 def ingest_postings(spark, d):
     """Canonical postings of raw records: projection, redaction, ids, rejection, first delivery."""
     return ingest.ingest(_records(spark, d), "raw").select("job_id", "source", "title", "company", "location", "description", "collection_date")
@@ -188,12 +211,12 @@ def ingest_counts(spark, d):
     return s.select("records_read", "records_valid", "records_invalid")
 
 
-@query()
+@query(f"WITH {_RECORDS} SELECT count(*) AS records_read, count(*) FILTER (WHERE valid) AS records_valid, count(*) FILTER (WHERE NOT valid) AS records_invalid, count(DISTINCT dedup) FILTER (WHERE valid) AS records_output, count(*) FILTER (WHERE valid) - count(DISTINCT dedup) FILTER (WHERE valid) AS duplicates, CAST(coalesce(sum(emails) FILTER (WHERE valid), 0) AS BIGINT) AS email_redactions, CAST(coalesce(sum(phones) FILTER (WHERE valid), 0) AS BIGINT) AS phone_redactions FROM rec")
 def ingest_statistics(spark, d):
     return ingest.statistics(_records(spark, d), "raw")
 
 
-@query()
+@query(f"WITH {_RECORDS} SELECT 'missing_title' AS reason, count(*) AS n FROM rec WHERE NOT valid HAVING count(*) > 0")
 def reject_reasons(spark, d):
     return ingest.reject_reasons(_records(spark, d), "raw")
 
@@ -221,6 +244,12 @@ def semantic_hash(spark, d):
     return spark.createDataFrame([(dataset_hash(j), j.count())], "hash string, n bigint")
 
 
+@query("SELECT 'job_family_volume' AS analysis, 'no validated job-family field is available' AS reason UNION ALL " + " UNION ALL ".join(f"SELECT '{a}', '{r} no populated values' FROM jobs HAVING {' AND '.join(f'count(*) FILTER (WHERE {t}) = 0' for t in ts)}" for a, r, ts in (("publication_week_trends", "publication_date has", ("publication_date IS NOT NULL",)), ("geographic_trends", "federal_state has", ("trim(federal_state) <> ''",)), ("remote_work_trends", "remote_type has", ("trim(remote_type) <> ''",)), ("salary_trends", "salary_min and salary_max have", ("salary_min IS NOT NULL", "salary_max IS NOT NULL")), ("language_requirements", "language_requirements has", ("len(language_requirements) > 0",)))))
+def unavailable_analyses(spark, d):
+    """Analyses that the postings' fields can't support."""
+    return ingest.unavailable_analyses(table(spark, d, "jobs"))
+
+
 # lexicon
 
 
@@ -335,9 +364,9 @@ pc AS (SELECT *, m / 4 AS p, m / n AS c FROM scored WHERE m > 0),
 best AS (SELECT job_id, skill_ids, m, n, round(2 * p * c / (p + c), 6) AS f1, round(c, 6) AS cov FROM pc ORDER BY f1 DESC, cov DESC, job_id LIMIT 25)"""
 
 
-@query(f"WITH $SIDE, {_RANKED} SELECT row_number() OVER (ORDER BY f1 DESC, cov DESC, job_id) AS rank, job_id, f1 AS match_score, cov AS job_skill_coverage, m AS matched_skill_count, n AS job_skill_count, array_to_string(list_filter(['python', 'sql', 'docker', 'teamwork'], lambda s: list_contains(skill_ids, s)), ',') AS matched_skills, 'unverified' AS requirement_status FROM best")
+@query(f"WITH $SIDE, {_RANKED} SELECT row_number() OVER (ORDER BY f1 DESC, cov DESC, job_id) AS rank, job_id, f1 AS match_score, cov AS job_skill_coverage, m AS matched_skill_count, n AS job_skill_count, array_to_string(list_filter(['docker', 'python', 'sql', 'teamwork'], lambda s: list_contains(skill_ids, s)), ',') AS matched_skills, 'unverified' AS requirement_status FROM best")
 def rank_overlap_topk(spark, d):
-    r = matching.rank(side(spark, d), PROFILE, 25, set(known_skills(spark, d)))
+    r = matching.rank(side(spark, d), PROFILE, 25, known_skills(spark, d), strict=True)
     return r.select("rank", "job_id", "match_score", "job_skill_coverage", "matched_skill_count", "job_skill_count", F.array_join("matched_skills", ",").alias("matched_skills"), "requirement_status")
 
 
@@ -397,6 +426,27 @@ def ranking_metrics_graded(spark, d):
     return r.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision_at_k", "recall_at_k_pooled", "mrr", "ndcg_at_k")])
 
 
+@query(f"WITH $SIDE, {_QUERYROWS}, h AS (SELECT query_id, rank FROM rk WHERE job_id = query_id), m AS (SELECT q.query_id, coalesce(1 / 10 * (h.rank IS NOT NULL)::INT, 0) AS p, coalesce((h.rank IS NOT NULL)::INT, 0)::DOUBLE AS r, coalesce(1 / h.rank, 0) AS mrr, coalesce(1 / log2(h.rank + 1), 0) AS ndcg FROM q LEFT JOIN h USING (query_id)) SELECT count(*) AS queries_evaluated, round(avg(p), 6) AS precision_at_k, round(avg(r), 6) AS recall_at_k, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg_at_k FROM m")
+def ranking_macro_means(spark, d):
+    """Means over all queries of finding a posting again by its own gold skills."""
+    q = _gold_queries(spark, d)
+    r = evaluation.binary_ranking(matching.rank_queries(q, side(spark, d), 10), q.select("query_id", F.col("query_id").alias("job_id")), 10)
+    return evaluation.macro_means(r, ("precision_at_k", "recall_at_k", "mrr", "ndcg_at_k"))
+
+
+@query()
+def matching_report(spark, d):
+    """The matcher against random draws on the pools of all gold queries, graded by the number of common skills, at most 3."""
+    s = side(spark, d)
+    q = _gold_queries(spark, d).withColumn("source_job_id", F.col("query_id"))
+    pools = written_table(matching.pools(q, s, 10, ids.SEED), "pools")
+    judged = pools.select("query_id", F.explode("jobs").alias("job_id")).join(s, "job_id").join(q, "query_id")
+    sheet = judged.select("query_id", "job_id", F.least(F.lit(3), F.size(F.array_intersect("skill_ids", "candidate_skill_ids"))).alias("grade"))
+    r = evaluation.matching_report(q, sheet, pools, 10, ids.SEED)
+    rows = [(r["status"], r["queries_fully_judged"], system, metric, *map(float, v)) for system, metrics in r.get("systems", {}).items() for metric, v in metrics.items()]
+    return spark.createDataFrame(rows, "status string, queries bigint, system string, metric string, mean double, low double, high double")
+
+
 @query()
 def match_pool(spark, d):
     """Judging pools of all gold queries: matcher's and random postings in blind order, without the query's own posting."""
@@ -501,9 +551,10 @@ def _annotations(spark, d):
     return table(spark, d, "annotations").withColumn("annotator", F.lower(F.trim("annotator")))
 
 
-@query("WITH m AS (SELECT DISTINCT job_id, split FROM manifest), t AS (SELECT split, count(DISTINCT job_id) AS total FROM m GROUP BY 1) SELECT lower(trim(a.annotator)) AS annotator, m.split, count(DISTINCT a.job_id) AS done, any_value(t.total) AS total FROM annotations a JOIN m USING (job_id) JOIN t USING (split) WHERE a.skills IS NOT NULL GROUP BY 1, 2")
+@query("WITH m AS (SELECT DISTINCT job_id, split FROM manifest), t AS (SELECT split, count(DISTINCT job_id) AS total FROM m GROUP BY 1), a AS (SELECT DISTINCT lower(trim(annotator)) AS annotator, job_id FROM annotations WHERE skills IS NOT NULL), n AS (SELECT annotator, split, count(DISTINCT job_id) AS done FROM a JOIN m USING (job_id) GROUP BY 1, 2), pilot AS (SELECT job_id FROM (SELECT job_id, row_number() OVER (PARTITION BY stratum ORDER BY sha256('20261004:pilot:' || job_id), job_id) AS n FROM (SELECT DISTINCT job_id, stratum FROM manifest)) WHERE n <= 16), p AS (SELECT annotator, count(DISTINCT job_id) AS seen FROM a WHERE job_id IN (SELECT job_id FROM pilot) GROUP BY 1) SELECT e.annotator, t.split, coalesce(n.done, 0) AS done, t.total, t.total - coalesce(n.done, 0) AS remaining, (SELECT count(DISTINCT job_id) FROM pilot) - coalesce(p.seen, 0) AS pilot_remaining FROM (SELECT DISTINCT annotator FROM a) e CROSS JOIN t LEFT JOIN n ON n.annotator = e.annotator AND n.split = t.split LEFT JOIN p ON p.annotator = e.annotator")
 def annotation_progress(spark, d):
-    return audits.progress(_annotations(spark, d), table(spark, d, "manifest"))
+    pilot = sampling.pilot(table(spark, d, "manifest", "job_id", "stratum").distinct())
+    return audits.progress(_annotations(spark, d), table(spark, d, "manifest"), pilot)
 
 
 _REVIEWS = "rev AS (SELECT lower(trim(annotator)) AS annotator, job_id, list_distinct(flatten(list(list_transform(map_keys(skills), lambda k: lower(trim(k)))))) AS ids FROM annotations WHERE skills IS NOT NULL GROUP BY 1, 2)"
@@ -516,7 +567,7 @@ def annotator_kappa(spark, d):
     return evaluation.annotator_pairs(r, len(known_skills(spark, d))).withColumn("kappa", F.round("kappa", 6))
 
 
-@query()
+@query("WITH t AS (SELECT doc_id, doc_id // 2 AS seg, text, CASE lower(trim(lang)) WHEN 'de' THEN 'de-en' WHEN 'en' THEN 'en-de' ELSE lower(trim(lang)) END AS dir FROM documents), r AS (SELECT doc_id, seg, CASE WHEN doc_id % 13 <> 0 THEN dir END AS direction, CASE WHEN doc_id % 13 = 0 THEN 'invalid_json' WHEN dir IS NULL OR dir NOT IN ('de-en', 'en-de') THEN 'unsupported_direction' WHEN text IS NULL OR trim(text, ' ') = '' THEN 'missing_source' WHEN trim(left(text, 50), ' ') = '' THEN 'missing_reference' WHEN doc_id % 11 = 0 THEN 'missing_hypothesis' END AS reason FROM t), n AS (SELECT *, row_number() OVER (PARTITION BY reason IS NULL, seg ORDER BY doc_id) AS rn FROM r) SELECT CASE WHEN reason IS NULL AND rn > 1 THEN 'duplicate_segment_id' ELSE reason END AS reason, direction, count(*) AS n FROM n GROUP BY 1, 2")
 def translation_pair_audit(spark, d):
     """Documents written as translation-pair lines, some damaged, and audited."""
     t = table(spark, d, "documents", "doc_id", "text", "lang").withColumn("l", F.lower(F.trim("lang")))

@@ -27,35 +27,53 @@ def sha256_file(path: str | Path) -> str:
 
 
 def _items(stream, size: int = CHUNK):
-    """The items of a top-level JSON array, decoded one by one from a text stream."""
-    decoder, text, started, ended = json.JSONDecoder(), "", False, False
-    while True:
-        block = stream.read(size)
-        ended = not block
-        text += block
+    """The items of a top-level JSON array, decoded one by one from a text stream.
+
+    A place in the buffer moves on; what is behind it leaves with the next block. Where an item goes beyond the buffer, as
+    much again is read before it is tried again, so a long item is decoded a few times at most.
+    """
+    decoder, text, at, more, ended = json.JSONDecoder(), "", 0, size, False
+
+    def fill() -> None:
+        nonlocal text, at, ended
+        got = []
+        while not ended and sum(map(len, got)) < more:
+            block = stream.read(more)
+            ended = not block
+            got.append(block)
+        text, at = text[at:] + "".join(got), 0
+
+    def skip(signs: str) -> str:
+        """The first character that is none of the signs, empty at the end."""
+        nonlocal at
         while True:
-            text = text.lstrip(" \t\r\n,")
-            if not started:
-                if not text:
-                    break
-                if text[0] != "[":
-                    raise ValueError("the archive's JSON is not an array")
-                text, started = text[1:], True
-                continue
-            if not text or text[0] == "]":
-                break
-            try:
-                item, end = decoder.raw_decode(text)
-            except ValueError:
-                if ended:
-                    raise
-                break
-            if end == len(text) and not ended and not isinstance(item, (dict, list, str)):
-                break  # a number may go on in the next block
-            text = text[end:]
-            yield item
-        if ended or started and text[:1] == "]":
+            while at < len(text) and text[at] in signs:
+                at += 1
+            if at < len(text) or ended:
+                return text[at : at + 1]
+            fill()
+
+    if skip(" \t\r\n") != "[":
+        raise ValueError("the archive's JSON is not an array")
+    at += 1
+    while True:
+        sign = skip(" \t\r\n,")
+        if sign == "]":
             return
+        if not sign:
+            raise ValueError("the archive's JSON array does not end")
+        try:
+            item, end = decoder.raw_decode(text, at)
+            if text[end : end + 1] not in tuple(" \t\r\n,]"):
+                raise ValueError("an item of the array does not end")  # or a number goes on in the next block
+        except ValueError:
+            if ended:
+                raise
+            more = max(size, len(text) - at)
+            fill()
+            continue
+        at, more = end, size
+        yield item
 
 
 def archive_to_lines(archive: str | Path, out: str | Path) -> int:

@@ -1,4 +1,7 @@
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
 from stellwerk.operators import evaluation, lexicon, matching
 from tests.test_lexicon import skill
@@ -110,3 +113,35 @@ def test_scores_kappa_bootstrap(spark):
 def test_rand_index(spark):
     df = spark.createDataFrame([(1, 5, 1), (1, 5, 2), (2, 6, 1), (2, 6, 2)], "a int, b int, c int")
     assert evaluation.adjusted_rand(df, "a", "b").first()["ari"] == 1.0 and evaluation.adjusted_rand(df, "a", "c").first()["ari"] < 0
+
+
+def test_matching_report_and_its_gates(spark):
+    n = 24
+    queries = spark.createDataFrame([(f"q{i}", f"own{i}") for i in range(n)], "query_id string, source_job_id string")
+    pools = spark.createDataFrame([(f"q{i}", ["a", "b", "c"], ["d", "a", "e"]) for i in range(n)], "query_id string, matcher array<string>, random array<string>")
+    grade = {"a": 3, "b": 2, "c": 0, "d": 0, "e": 1}
+    rows = [(f"q{i}", j, g) for i in range(n) for j, g in grade.items()]
+    sheet = lambda rows: spark.createDataFrame(rows, "query_id string, job_id string, grade int")
+    r = evaluation.matching_report(queries, sheet(rows), pools, 3, 7)
+    assert (r["status"], r["queries_fully_judged"]) == ("scored", n)
+    m, d = r["systems"]["matcher"], r["systems"]["random"]
+    assert m["precision_at_k"][0] == pytest.approx(2 / 3) and m["mrr"] == (1.0, 1.0, 1.0) and m["recall_at_k_pooled"][0] == 1.0
+    gain = lambda gs: sum((2**g - 1) / math.log2(i + 2) for i, g in enumerate(gs))
+    assert d["ndcg_at_k"][0] == pytest.approx(gain([0, 3, 1]) / gain([3, 2, 1])) and m["ndcg_at_k"][0] == pytest.approx(gain([3, 2, 0]) / gain([3, 2, 1]))
+    open_ = [(q, j, None if q in ("q1", "q2", "q3", "q4", "q5") and j == "c" else g) for q, j, g in rows]
+    few = evaluation.matching_report(queries, sheet(open_), pools, 3, 7)
+    assert few["status"] == "insufficient_labels" and few["queries_fully_judged"] == n - 5 and "systems" not in few
+    with pytest.raises(ValueError, match="unknown query"):
+        evaluation.matching_report(queries, sheet([*rows, ("zz", "a", 1)]), pools, 3, 7)
+    with pytest.raises(ValueError, match="grade"):
+        evaluation.matching_report(queries, sheet([*rows, ("q1", "f", 4)]), pools, 3, 7)
+    with pytest.raises(ValueError, match="own ranking"):
+        evaluation.matching_report(queries.withColumn("source_job_id", F.lit("e")), sheet(rows), pools, 3, 7)
+
+
+def test_profiles_in_taxonomy_order_and_strict_sidecars(spark):
+    side = spark.createDataFrame([("a", ["z", "y", "x"]), ("b", ["x", "odd"])], "job_id string, skill_ids array<string>")
+    assert matching.rank(side, ["z", "x"], 1, ["x", "y", "z"]).first()["matched_skills"] == ["x", "z"]
+    with pytest.raises(ValueError, match="odd"):
+        matching.rank(side, ["x"], 1, ["x", "y", "z"], strict=True)
+    assert evaluation.macro_means(spark.createDataFrame([(0.5,), (0.25,), (0.0,)], "m double"), ("m",)).first().asDict() == {"queries_evaluated": 3, "m": 0.25}

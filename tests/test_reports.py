@@ -14,7 +14,7 @@ def day(s):
 
 @pytest.fixture()
 def jobs(spark):
-    return spark.createDataFrame([("a", day("2023-01-02")), ("b", day("2023-01-03")), ("c", day("2023-01-16")), ("d", None)], "job_id string, collection_date date")
+    return spark.createDataFrame([("a", day("2024-06-05")), ("b", day("2024-06-09")), ("c", day("2024-07-01")), ("d", None)], "job_id string, collection_date date")
 
 
 @pytest.fixture()
@@ -30,15 +30,15 @@ def tax(spark):
 def test_weeks(spark, jobs, side, tax):
     w, s = cohorts.weekly_postings(jobs), cohorts.weekly_skills(jobs, side)
     rows = {str(r["week_start"]): r for r in cohorts.spine(w).collect()}
-    assert len(rows) == 3 and not rows["2023-01-09"]["has_observations"]
-    assert str(rows["2023-01-16"]["compared_with_week"]) == "2023-01-02" and rows["2023-01-16"]["weeks_since"] == 2
+    assert sorted(rows) == ["2024-06-03", "2024-06-10", "2024-06-17", "2024-06-24", "2024-07-01"] and not rows["2024-06-17"]["has_observations"]
+    assert str(rows["2024-07-01"]["compared_with_week"]) == "2024-06-03" and rows["2024-07-01"]["weeks_since"] == 4
     d = {(r["skill_id"], r["direction"]): r["delta_points"] for r in cohorts.share_deltas(w, s, tax).collect()}
     assert d == {("sql", "increase"): 50.0, ("python", "decrease"): -100.0}
     top = [(r["skill_id"], r["share_pct"]) for r in cohorts.top_skills(w, s).filter("rank = 1").orderBy("week_start").collect()]
     assert top == [("python", 100.0), ("sql", 100.0)]
-    assert tuple(cohorts.summary(w).first()) == (2, 3, 1, 1, 2, 2.0)
+    assert tuple(cohorts.summary(w).first()) == (2, 5, 3, 1, 2, 2.0)
     r = cohorts.report(jobs, side, tax)
-    assert r["market_growth_inference_allowed"] is False and len(r["weeks"]) == 3
+    assert r["market_growth_inference_allowed"] is False and len(r["weeks"]) == 5
     assert cohorts.spine(w.limit(0)).count() == 0
 
 
@@ -114,7 +114,7 @@ def test_sampling(spark):
 
 def test_interval_audit(spark):
     schema = "salary_min double, salary_max double, salary_currency string, salary_period string, title string, location string, federal_state string, experience_level string, employment_type string, remote_type string, normalized_skills array<string>"
-    rows = [(3000.0, 4500.0, "EUR", "monthly"), (None, 3000.0, "EUR", "month"), (4000.0, 5000.0, "USD", "annual"), (-1.0, 1000.0, "EUR", "month")]
+    rows = [(41_500.0, 58_000.0, " eur ", "Per Year"), (2_750.0, None, "EUR", "monthly"), (19.5, 23.0, "EUR", "hour"), (900.0, 650.0, "EUR", "year")]
     a = audits.intervals(spark.createDataFrame([(*r, "t", " ", None, None, None, None, []) for r in rows], schema)).first().asDict()
     assert [a[k] for k in ("any_salary_bound", "complete_intervals", "partial_intervals", "invalid_numeric_intervals", "unsupported_units", "valid_intervals", "title", "location", "normalized_skills")] == [4, 3, 1, 1, 1, 1, 4, 0, 0]
     assert audits.blockers(a) == ["no normalized skills in the postings", "intervals in unsupported units"]
@@ -145,7 +145,10 @@ def test_label_audits(spark, tax):
     ann = spark.createDataFrame([("h", "a", {"x": "required"}), ("h", "z", {}), ("m", "a", None)], "annotator string, job_id string, skills map<string,string>")
     man = spark.createDataFrame([("a", "dev"), ("b", "dev")], "job_id string, split string")
     assert [r[0] for r in audits.outside_manifest(ann, man).collect()] == ["z"]
-    assert [tuple(r) for r in audits.progress(ann, man).collect()] == [("h", "dev", 1, 2)]
+    assert [tuple(r) for r in audits.progress(ann, man).collect()] == [("h", "dev", 1, 2, 1)]
+    both = man.union(spark.createDataFrame([("z", "test"), ("y", "test")], man.schema))
+    pilot = spark.createDataFrame([("z",), ("y",), ("b",)], "job_id string")
+    assert {tuple(r) for r in audits.progress(ann, both, pilot).collect()} == {("h", "dev", 1, 2, 1, 2), ("h", "test", 1, 2, 1, 2)}
 
 
 def test_annotation_csv(spark):

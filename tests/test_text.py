@@ -13,7 +13,7 @@ def test_clean_unescapes_before_removing_tags(spark):
     assert one(spark, " A &amp; B&lt;b&gt;x&lt;/b&gt;  <i>y</i> z ", text.clean) == "A & B x y z"
     assert one(spark, "&lt;p&gt; ", text.clean) is None
     assert one(spark, None, text.clean) is None
-    assert one(spark, "caf&eacute; &amp;lt;", lambda c: text.clean(c, full=True)) == "café &lt;"
+    assert one(spark, "caf&eacute; &amp;lt;", text.clean) == "café &lt;"
     assert one(spark, "&amp;lt;", text.clean) == "&lt;"
 
 
