@@ -444,6 +444,7 @@ def matching_report(spark, d):
     sheet = judged.select("query_id", "job_id", F.least(F.lit(3), F.size(F.array_intersect("skill_ids", "candidate_skill_ids"))).alias("grade"))
     r = evaluation.matching_report(q, sheet, pools, 10, ids.SEED)
     rows = [(r["status"], r["queries_fully_judged"], system, metric, *map(float, v)) for system, metrics in r.get("systems", {}).items() for metric, v in metrics.items()]
+    rows = rows or [(r["status"], r["queries_fully_judged"], None, None, None, None, None)]
     return spark.createDataFrame(rows, "status string, queries bigint, system string, metric string, mean double, low double, high double")
 
 
