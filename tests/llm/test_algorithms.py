@@ -206,6 +206,41 @@ def test_consensus_of_few(spark):
     assert consensus.consensus(one.limit(0)).count() == 0
 
 
+def test_thresholds_come_from_all_settled_postings(spark):
+    """A skill that only c shows is right in most settled postings, but in none of the 5,000 with the smallest hashes."""
+    schema = "annotator string, job_id string, skills map<string,string>"
+    order = [r["job_id"] for r in spark.range(5400).select(F.concat(F.lit("j"), "id").alias("job_id")).orderBy(F.xxhash64("job_id"), "job_id").collect()]
+    both, one = {"s": "required", "w": "required"}, {"s": "required"}
+    settled = [("adjudicated", j, both if at >= 5000 else one) for at, j in enumerate(order)]
+    rows = [(who, j, both if who == "c" and (at >= 5000 or at % 50 == 0) else one) for at, j in enumerate(order) for who in "abc"]
+    rows += [("a", "new", one), ("b", "new", one), ("c", "new", both)]
+    got = consensus.consensus(spark.createDataFrame(rows, schema), spark.createDataFrame(settled, schema))
+    assert {(r["skill_id"], r["label"]) for r in got.filter("job_id = 'new'").collect()} == {("s", "required"), ("w", "required")}
+
+
+def test_thresholds_are_the_best_of_all_cuts(spark):
+    rng = random.Random(3)
+    unit, levels = consensus.UNIT, {}
+    for j in range(60):
+        levels |= {(f"j{j}", f"s{s}"): rng.choice([1, 2, 2]) for s in range(12) if rng.random() < 0.5}
+    levels |= {("silent", "s1"): 2}  # nobody shows it: a miss at any cut
+    # scores near each other and far apart, many of them equal
+    rows = [(f"j{j}", f"s{s}", rng.choice([rng.randint(-9, 9) * unit // 2, rng.randint(-400, 400)]) + (2 * unit if (f"j{j}", f"s{s}") in levels else 0), rng.choice([rng.randint(-6, 6) * unit, rng.randint(-300, 300)]) + (unit if levels.get((f"j{j}", f"s{s}")) == 2 else 0)) for j in range(60) for s in range(12) if rng.random() < 0.8]
+    other = [("unsettled", "s1", 50 * unit, 0)]
+    settled = [(*k, v) for k, v in levels.items()] + [(j, None, None) for j in [f"j{j}" for j in range(60)] + ["silent"]]
+    cut, cut2 = consensus._thresholds(spark.createDataFrame(rows + other, "job_id string, skill_id string, a bigint, b bigint"), spark.createDataFrame(settled, "job_id string, skill_id string, level int"))
+
+    def f1(at):
+        kept = [(j, s) in levels for j, s, a, _ in rows if a > at]
+        return 2 * sum(kept) / (len(kept) + len(levels))
+
+    def mistakes(at):
+        return sum((b > at) != (levels[j, s] == 2) for j, s, _, b in rows if (j, s) in levels)
+
+    assert f1(cut) == max(f1(a - 1) for _, _, a, _ in rows)
+    assert mistakes(cut2) == min(mistakes(b - d) for _, _, _, b in rows for d in (0, 1))
+
+
 # p9
 
 
