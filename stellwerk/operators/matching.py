@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stellwerk.functions.ids import shuffle_key
-from stellwerk.operators import lexicon
+from stellwerk.operators import lexicon, skillsets
+from stellwerk.session import written_table
 
-DECIMALS = 6
+DECIMALS = skillsets.DECIMALS
 
 
 def components(matched: Column, profile_size: Column, job_size: Column) -> dict[str, Column]:
@@ -86,23 +87,31 @@ def gap_evidence(gap_rows: DataFrame, postings: DataFrame, taxonomy: lexicon.Tax
     return gap_rows.join(by_skill, ["job_id", "skill_id"], "left").fillna(0, ["occurrences_in_ad"])
 
 
-def rank_queries(queries: DataFrame, sidecar: DataFrame, k: int) -> DataFrame:
-    """``query_id, job_id, rank, harmonic_f1, job_skill_coverage`` of the k best postings of every query, all in one join on skills.
+def answered(queries: DataFrame, sidecar: DataFrame, k: int, grades: bool = False) -> DataFrame:
+    """``query_id, source_job_id, candidate_skill_ids, best, n1, n2, n3`` of every query: its k best postings in order (``job_id, f1, cov, m``), and with
+    grades how many postings share at least 1, 2 and 3 skills with it.
 
-    queries: ``query_id, candidate_skill_ids``, and ``source_job_id`` where a query's own posting must not answer it. Only
-    postings that share a skill meet a query; their matches are counted on the way (partial aggregation), and each query keeps
-    its k best by a window group limit.
+    queries: ``query_id, candidate_skill_ids``, and ``source_job_id`` where a query's own posting must not answer it.
     """
-    q = queries.select("query_id", F.array_distinct("candidate_skill_ids").alias("c")).withColumn("n_c", F.size("c"))
-    j = sidecar.select("job_id", F.array_distinct("skill_ids").alias("s")).withColumn("n_s", F.size("s"))
-    pairs = q.select("query_id", "n_c", F.explode("c").alias("skill_id")).join(j.select("job_id", "n_s", F.explode("s").alias("skill_id")), "skill_id").groupBy("query_id", "n_c", "job_id", "n_s").agg(F.count(F.lit(1)).alias("m"))
-    parts = components(F.col("m"), F.col("n_c"), F.col("n_s"))
-    if "source_job_id" in queries.columns:
-        own = queries.filter("source_job_id is not null").select("query_id", F.col("source_job_id").alias("job_id")).distinct()
-        pairs = pairs.join(own, ["query_id", "job_id"], "left_anti")
-    scored = pairs.select("query_id", "job_id", parts["harmonic_f1"].alias("harmonic_f1"), parts["job_skill_coverage"].alias("job_skill_coverage"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("harmonic_f1"), F.desc("job_skill_coverage"), "job_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    own = F.col("source_job_id") if "source_job_id" in queries.columns else F.lit(None).cast("string")
+    q = queries.select("query_id", own.alias("source_job_id"), "candidate_skill_ids", F.array_sort(F.array_distinct("candidate_skill_ids")).alias("c"))
+    # one more than asked for takes the place of a query's own posting
+    got = q.join(skillsets.answers(q, sidecar, k + 1, grades), "c", "left")
+
+    def scored(x: Column) -> Column:
+        parts = components(x["m"], F.size("c"), x["n_s"])
+        f1, cov = parts["harmonic_f1"], parts["job_skill_coverage"]
+        return F.struct((-f1).alias("by_f1"), (-cov).alias("by_cov"), x["job_id"].alias("job_id"), f1.alias("f1"), cov.alias("cov"), x["m"].alias("m"))
+
+    others = F.filter(F.coalesce("best", F.array()), lambda x: ~x["job_id"].eqNullSafe(F.col("source_job_id")))
+    best = F.slice(F.array_sort(F.transform(others, scored)), 1, k)
+    return got.select("query_id", "source_job_id", "candidate_skill_ids", best.alias("best"), *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n1", "n2", "n3")])
+
+
+def rank_queries(queries: DataFrame, sidecar: DataFrame, k: int) -> DataFrame:
+    """``query_id, job_id, rank, harmonic_f1, job_skill_coverage`` of the k best postings of every query that share a skill with it."""
+    rows = answered(queries, sidecar, k).select("query_id", F.posexplode("best").alias("at", "r"))
+    return rows.select("query_id", "r.job_id", F.col("r.f1").alias("harmonic_f1"), F.col("r.cov").alias("job_skill_coverage"), (F.col("at") + 1).alias("rank"))
 
 
 def check_queries(queries: DataFrame, known: DataFrame) -> None:
@@ -124,28 +133,32 @@ def _hash(seed: int, key: str) -> str:
 
 
 def pools(queries: DataFrame, sidecar: DataFrame, k: int, seed: int, candidates: int = 5000) -> DataFrame:
-    """``query_id, jobs, matcher, random``: the judging pool of every query, its k best and k random postings in blind order,
-    both without the query's source posting. Random ones come from the first `candidates` ids of the seeded order (a sampling
-    frame, drawn once and sent to the executors, which draw by query id)."""
+    """``query_id, jobs, shared, matcher, random``: the judging pool of every query, its k best and k random postings in blind order
+    with the number of skills that each shares with the query, both without the query's source posting. Random ones come from the
+    first `candidates` ids of the seeded order (a sampling frame, drawn once and sent to the executors, which draw by query id)."""
     spark = queries.sparkSession
-    frame = spark.sparkContext.broadcast([r[0] for r in sidecar.select("job_id").orderBy(shuffle_key(F.col("job_id"), seed), "job_id").limit(candidates).collect()])
-    best = rank_queries(queries, sidecar, k).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "job_id"))), lambda x: x["job_id"]).alias("matcher"))
-    rows = queries.select("query_id", "source_job_id").join(best, "query_id", "left").select("query_id", "source_job_id", F.coalesce("matcher", F.array().cast("array<string>")).alias("matcher"))
+    sidecar = written_table(sidecar.select("job_id", "skill_ids"), "sidecar")
+    frame = spark.sparkContext.broadcast({r[0]: frozenset(r[1] or ()) for r in sidecar.orderBy(shuffle_key(F.col("job_id"), seed), "job_id").limit(candidates).collect()})
+    rows = answered(queries, sidecar, k).select("query_id", "source_job_id", "candidate_skill_ids", F.col("best.job_id").alias("matcher"), F.col("best.m").alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = frame.value
+        skills = frame.value
+        ids = list(skills)
         for batch in batches:
-            jobs, drawn = [], []
-            for query, source, matcher in zip(*(c.to_pylist() for c in batch.columns)):
+            jobs, shared, drawn = [], [], []
+            for query, source, wanted, matcher, m in zip(*(c.to_pylist() for c in batch.columns)):
                 banned = {*matcher, source}
                 # at most k + 1 of the drawn ids are banned
                 draw = random.Random(_hash(seed, query)).sample(ids, min(2 * k + 1, len(ids)))
                 drawn.append([j for j in draw if j not in banned][:k])
-                jobs.append(sorted({*matcher, *drawn[-1]}, key=lambda j: _hash(seed, query + j)))
+                wanted = {s for s in wanted or () if s is not None}
+                common = {j: len(wanted & skills[j]) for j in drawn[-1]} | dict(zip(matcher, m))
+                jobs.append(sorted(common, key=lambda j: _hash(seed, query + j)))
+                shared.append([common[j] for j in jobs[-1]])
             texts = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(jobs, texts), batch.column(2), pa.array(drawn, texts)], ["query_id", "jobs", "matcher", "random"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(jobs, texts), pa.array(shared, pa.list_(pa.int32())), batch.column(3), pa.array(drawn, texts)], ["query_id", "jobs", "shared", "matcher", "random"])
 
-    return rows.mapInArrow(run, "query_id string, jobs array<string>, matcher array<string>, random array<string>")
+    return rows.mapInArrow(run, "query_id string, jobs array<string>, shared array<int>, matcher array<string>, random array<string>")
 
 
 def pool(queries: DataFrame, sidecar: DataFrame, k: int, seed: int, candidates: int = 5000) -> list[dict]:

@@ -1,9 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from stellwerk.operators import evaluation, lexicon, matching
+from stellwerk.operators import evaluation, lexicon, matching, skillsets
 from tests.test_lexicon import skill
 
 ROWS = [("a", ["python", "sql", "java"]), ("b", ["python"]), ("c", ["sql", "java"]), ("d", ["python", "sql"]), ("e", ["java"]), ("f", []), ("g", None)]
@@ -145,3 +146,78 @@ def test_profiles_in_taxonomy_order_and_strict_sidecars(spark):
     with pytest.raises(ValueError, match="odd"):
         matching.rank(side, ["x"], 1, ["x", "y", "z"], strict=True)
     assert evaluation.macro_means(spark.createDataFrame([(0.5,), (0.25,), (0.0,)], "m double"), ("m",)).first().asDict() == {"queries_evaluated": 3, "m": 0.25}
+
+
+def _brute_force(queries, side, k):
+    """The k best postings of each query by every pair."""
+    out = {}
+    for query, wanted, own in queries:
+        rows = []
+        for job, skills in side:
+            s, c = set(skills or []), set(wanted)
+            if (m := len(s & c)) and job != own:
+                p, v = m / len(c), m / len(s)
+                rows.append((-round(2 * p * v / (p + v), 6), -round(v, 6), job))
+        out[query] = [(job, -f1) for f1, _, job in sorted(rows)[:k]]
+    return out
+
+
+def _random_sets(seed, n, most):
+    rng = random.Random(seed)
+    return [rng.sample("abcdefghij", rng.randint(0, most)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("cells", [10**6, 300])
+def test_best_postings_are_those_of_all_pairs(spark, monkeypatch, cells):
+    """One shard of the index and several; ties by id, hot sets, own postings, skills that no posting has, duplicate skills."""
+    monkeypatch.setattr(skillsets, "CELLS", cells)
+    side = [(f"j{i * 7919 % 1000:03}", s) for i, s in enumerate(_random_sets(1, 400, 5))] + [(f"h{i:02}", ["a", "a"]) for i in range(30)] + [("n", None)]
+    queries = [(f"q{i}", [*c, *(["none"] if i % 5 == 0 else [])], side[i][0] if i % 3 else None) for i, c in enumerate(_random_sets(2, 60, 4))] + [("own", ["a"], "h03"), ("same", ["a"], "h04")]
+    q = spark.createDataFrame(queries, "query_id string, candidate_skill_ids array<string>, source_job_id string")
+    s = spark.createDataFrame(side, "job_id string, skill_ids array<string>")
+    got = {query: [] for query, *_ in queries}
+    for r in matching.rank_queries(q, s, 4).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["job_id"], r["harmonic_f1"]))
+    assert got == _brute_force(queries, side, 4)
+    pairs = {query: [len(set(c) & set(x or [])) for _, x in side] for query, c, _ in queries}
+    for r in matching.answered(q, s, 4, grades=True).collect():
+        assert [r["n1"], r["n2"], r["n3"]] == [sum(m >= g for m in pairs[r["query_id"]]) for g in (1, 2, 3)]
+
+
+def _shuffled(spark):
+    """Rows written to shuffles in this session."""
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.fixture(scope="module")
+def shared(tmp_path_factory, spark):
+    """700 gold postings of 700 sets that all share a skill: 490,000 pairs."""
+    d = str(tmp_path_factory.mktemp("shared"))
+    rows = [(f"j{i:03}", ["a", f"s{i % 26}", f"t{i // 26}", f"u{i}"]) for i in range(700)]
+    for name in ("skill_gold_v1", "job_skills"):
+        spark.createDataFrame(rows, "job_id string, skill_ids array<string>").repartition(4).write.parquet(f"{d}/{name}.parquet")
+    spark.createDataFrame([(s, s, "x") for s in sorted({s for _, x in rows for s in x})], "skill_id string, label string, category string").write.parquet(f"{d}/dim_skill.parquet")
+    return d
+
+
+def _in_few_rows(spark, shared, name):
+    """A query's rows, which must take fewer shuffled rows than a quarter of the pairs, as where no table is small enough to be sent."""
+    from stellwerk.plans import reports
+
+    before, bounds = _shuffled(spark), ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for bound in bounds:
+        spark.conf.set(bound, "-1")
+    try:
+        rows = getattr(reports, name)(spark, shared).collect()
+    finally:
+        for bound in bounds:
+            spark.conf.unset(bound)
+    assert _shuffled(spark) - before < 490_000 / 4
+    return rows
+
+
+def test_match_pool_has_no_table_of_pairs(spark, shared):
+    rows = _in_few_rows(spark, shared, "match_pool")
+    assert len({r["query_id"] for r in rows}) == 700 and max(r["place"] for r in rows) == 20
