@@ -221,3 +221,8 @@ def _in_few_rows(spark, shared, name):
 def test_match_pool_has_no_table_of_pairs(spark, shared):
     rows = _in_few_rows(spark, shared, "match_pool")
     assert len({r["query_id"] for r in rows}) == 700 and max(r["place"] for r in rows) == 20
+
+
+def test_rank_many_queries_has_no_table_of_pairs(spark, shared):
+    rows = _in_few_rows(spark, shared, "rank_many_queries")
+    assert len(rows) == 7000 and all(r["job_id"] == r["query_id"] and r["harmonic_f1"] == 1 for r in rows if r["rank"] == 1)
