@@ -226,3 +226,8 @@ def test_match_pool_has_no_table_of_pairs(spark, shared):
 def test_rank_many_queries_has_no_table_of_pairs(spark, shared):
     rows = _in_few_rows(spark, shared, "rank_many_queries")
     assert len(rows) == 7000 and all(r["job_id"] == r["query_id"] and r["harmonic_f1"] == 1 for r in rows if r["rank"] == 1)
+
+
+def test_ranking_metrics_binary_has_no_table_of_pairs(spark, shared):
+    rows = _in_few_rows(spark, shared, "ranking_metrics_binary")
+    assert [tuple(r)[1:] for r in rows] == [(0.1, 1.0, 1.0, 1.0)] * 700
