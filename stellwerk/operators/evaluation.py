@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BOOTSTRAP = 1000
 #: Grades of judged postings (fixed domain), and fully judged queries that a comparison needs.
 GRADES, LEAST_QUERIES = (0, 1, 2, 3), 20
+SYSTEMS = ("matcher", "random")
 METRICS = ("precision_at_k", "recall_at_k_pooled", "mrr", "ndcg_at_k")
 
 
@@ -74,15 +76,29 @@ def binary_ranking(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
 
 def graded_ranking(ranked: DataFrame, grades: DataFrame, k: int, relevant: int = 2) -> DataFrame:
     """As above with grades: gain 2^g - 1, the ideal over all judged grades, relevant from grade `relevant`; unjudged counts as 0."""
-    gain = lambda c: F.pow(F.lit(2.0), c) - 1
     # the ideal order needs only how many postings have each grade: no sort of all judged postings of a query
-    counted = grades.groupBy("query_id").agg(F.count_if(F.col("grade") >= relevant).alias("n_rel"), *[F.count_if(F.col("grade") >= g).alias(f"n{g}") for g in GRADES[1:]])
-    at = lambda i: sum((F.when(i <= F.col(f"n{g}"), float(2 ** (g - 1))).otherwise(0.0) for g in GRADES[1:]), F.lit(0.0))
-    ideal = counted.withColumn("idcg", F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(0.0), lambda s, i: s + at(i) / F.log2(i + 1.0)))
+    counted = grades.groupBy("query_id").agg(*[F.count_if(F.col("grade") >= g).alias(f"n{g}") for g in GRADES[1:]])
     top = ranked.filter(F.col("rank") <= k).join(grades, ["query_id", "job_id"])
-    got = top.groupBy("query_id").agg(F.count_if(F.col("grade") >= relevant).alias("hits"), F.min(F.when(F.col("grade") >= relevant, F.col("rank"))).alias("first"), F.sum(gain(F.col("grade")) / F.log2(F.col("rank") + 1.0)).alias("dcg"))
-    j = ideal.select("query_id", "n_rel", "idcg").join(got, "query_id", "left").fillna(0, ["hits"]).fillna(0.0, ["dcg"])
-    return j.select("query_id", (F.col("hits") / k).alias("precision_at_k"), ratio(F.col("hits"), F.col("n_rel")).alias("recall_at_k_pooled"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), ratio(F.col("dcg"), F.col("idcg")).alias("ndcg_at_k"))
+    got = top.groupBy("query_id").agg(F.collect_list(F.struct("rank", "grade")).alias("top"))  # at most k
+    return graded_scores(counted.join(got, "query_id", "left"), k, relevant)
+
+
+def graded_scores(rows: DataFrame, k: int, relevant: int = 2, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """The metrics of ``keys, top, n1, n2, n3``: grades of the ranked postings as ``rank, grade``, and how many judged postings
+    have at least each grade."""
+    discount = lambda i: F.log2(i + 1.0)
+    at = lambda i: sum((F.when(i <= F.col(f"n{g}"), float(2 ** (g - 1))).otherwise(0.0) for g in GRADES[1:]), F.lit(0.0))
+    top = F.coalesce("top", F.array())
+    hits = F.filter(top, lambda x: x["grade"] >= relevant)
+    j = rows.select(
+        *keys,
+        F.col(f"n{relevant}").alias("n_rel"),
+        F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(0.0), lambda s, i: s + at(i) / discount(i)).alias("idcg"),
+        F.size(hits).alias("hits"),
+        F.array_min(F.transform(hits, lambda x: x["rank"])).alias("first"),
+        F.aggregate(F.array_sort(top), F.lit(0.0), lambda s, x: s + F.coalesce(F.pow(F.lit(2.0), x["grade"]) - 1, F.lit(0.0)) / discount(x["rank"])).alias("dcg"),
+    )
+    return j.select(*keys, (F.col("hits") / k).alias("precision_at_k"), ratio(F.col("hits"), F.col("n_rel")).alias("recall_at_k_pooled"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), ratio(F.col("dcg"), F.col("idcg")).alias("ndcg_at_k"))
 
 
 def macro_means(per_query: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
@@ -90,11 +106,18 @@ def macro_means(per_query: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     return per_query.agg(F.count(F.lit(1)).alias("queries_evaluated"), *[F.round(F.avg(m), 6).alias(m) for m in metrics])
 
 
-def mean_interval(values: list[float], seed: int, draws: int = BOOTSTRAP) -> tuple[float, float, float]:
-    """Mean and 95 % percentile interval of the mean over resampled queries."""
-    rng = random.Random(seed)
-    means = sorted(sum(rng.choices(values, k=len(values))) / len(values) for _ in range(draws))
-    return sum(values) / len(values), means[int(0.025 * draws)], means[int(0.975 * draws) - 1]
+def mean_intervals(rows: list[list[float]], seed: int, draws: int = BOOTSTRAP) -> list[tuple[float, float, float]]:
+    """Of each column, the mean and the 95 % percentile interval of the mean over resampled rows.
+
+    The draws are those of ``random.Random(seed).choices``: numpy continues the same generator.
+    """
+    values, stream = np.array(rows, np.longdouble), np.random.RandomState()
+    _, (*key, at), _ = random.Random(seed).getstate()
+    stream.set_state(("MT19937", np.array(key, np.uint32), at))
+    n = len(values)
+    mean = lambda x: x.sum(axis=0).astype(float) / n
+    means = np.sort(np.array([mean(values[(stream.random_sample(n) * n).astype(np.int64)]) for _ in range(draws)]), axis=0)
+    return [tuple(map(float, t)) for t in zip(mean(values), means[int(0.025 * draws)], means[int(0.975 * draws) - 1])]
 
 
 def matching_report(queries: DataFrame, sheet: DataFrame, pools: DataFrame, k: int, seed: int) -> dict:
@@ -112,17 +135,24 @@ def matching_report(queries: DataFrame, sheet: DataFrame, pools: DataFrame, k: i
     leak = pools.join(queries.filter("source_job_id is not null").select("query_id", "source_job_id"), "query_id").filter(F.array_contains(F.concat("matcher", "random"), F.col("source_job_id"))).limit(1).collect()
     if leak:
         raise ValueError(f"the source posting of {leak[0]['query_id']} stands in its own ranking")
-    whole = sheet.groupBy("query_id").agg(F.count_if(F.col("grade").isNull()).alias("open")).filter("open = 0").select("query_id")
-    out: dict = {"k": k, "minimum_queries": LEAST_QUERIES, "queries_total": queries.count(), "queries_fully_judged": whole.count()}
+    entry = F.struct("job_id", "grade")
+    judged = sheet.groupBy("query_id").agg(F.count_if(F.col("grade").isNull()).alias("open"), F.collect_list(entry).alias("judged"), *[F.count_if(F.col("grade") >= g).alias(f"n{g}") for g in GRADES[1:]])
+    out: dict = {"k": k, "minimum_queries": LEAST_QUERIES, "queries_total": queries.count(), "queries_fully_judged": judged.filter("open = 0").count()}
     if out["queries_fully_judged"] < LEAST_QUERIES:
         return out | {"status": "insufficient_labels"}
-    grades = sheet.join(whole, "query_id", "left_semi")
-    out |= {"status": "scored", "systems": {}}
-    for system in ("matcher", "random"):
-        ranked = pools.join(whole, "query_id", "left_semi").select("query_id", F.posexplode(system).alias("at", "job_id")).select("query_id", "job_id", (F.col("at") + 1).alias("rank"))
-        rows = graded_ranking(ranked, grades, k).orderBy("query_id").select(*METRICS).collect()  # one row a query judged by hand
-        out["systems"][system] = {m: mean_interval([r[m] for r in rows], seed) for m in METRICS}
-    return out
+    whole = judged.filter("open = 0").join(pools.select("query_id", "matcher", "random"), "query_id", "left")
+
+    def top(system: str) -> Column:
+        """Grades of a system's ranking, as the sheet has them."""
+        return F.flatten(F.transform(system, lambda job, i: F.transform(F.filter("judged", lambda x: x["job_id"] == job), lambda x: F.struct((i + 1).alias("rank"), x["grade"].alias("grade")))))
+
+    # both systems in one pass; one row a query judged by hand
+    both = F.explode(F.array(*[F.struct(F.lit(s).alias("system"), top(s).alias("top")) for s in SYSTEMS]))
+    rows = graded_scores(whole.withColumn("x", both).select("query_id", "x.system", "x.top", "n1", "n2", "n3"), k, keys=("system", "query_id"))
+    by: dict[str, list] = {s: [] for s in SYSTEMS}
+    for system, *values in rows.orderBy("system", "query_id").select("system", *METRICS).collect():
+        by[system].append(values)
+    return out | {"status": "scored", "systems": {s: dict(zip(METRICS, mean_intervals(v, seed))) for s, v in by.items()}}
 
 
 def bootstrap(counts: list[tuple[int, int, int]], seed: int, draws: int = BOOTSTRAP) -> dict[str, tuple[float, float]]:

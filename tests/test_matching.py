@@ -231,3 +231,16 @@ def test_rank_many_queries_has_no_table_of_pairs(spark, shared):
 def test_ranking_metrics_binary_has_no_table_of_pairs(spark, shared):
     rows = _in_few_rows(spark, shared, "ranking_metrics_binary")
     assert [tuple(r)[1:] for r in rows] == [(0.1, 1.0, 1.0, 1.0)] * 700
+
+
+def test_matching_report_has_no_table_of_pairs(spark, shared):
+    rows = _in_few_rows(spark, shared, "matching_report")
+    assert len(rows) == 8 and {(r["status"], r["queries"]) for r in rows} == {("scored", 700)}
+
+
+def test_resampled_means_are_those_of_pythons_generator():
+    rng = random.Random(3)
+    rows = [[rng.random(), 1.0] for _ in range(50)]
+    draw = random.Random(7)
+    means = sorted(sum(draw.choices([a for a, _ in rows], k=50)) / 50 for _ in range(1000))
+    assert evaluation.mean_intervals(rows, 7) == [(sum(a for a, _ in rows) / 50, means[25], means[974]), (1.0, 1.0, 1.0)]
