@@ -420,9 +420,9 @@ _GRADES = "gr AS (SELECT query_id, job_id, least(3, m) AS grade FROM mt)"
 @query(f"WITH $SIDE, {_QUERYROWS}, {_GRADES}, idl AS (SELECT query_id, count(*) FILTER (WHERE grade >= 2) AS n_rel, sum(CASE WHEN r <= 10 THEN (2 ** grade - 1) / log2(r + 1) ELSE 0 END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, job_id) AS r FROM gr) GROUP BY query_id), got AS (SELECT rk.query_id, count(*) FILTER (WHERE grade >= 2) AS hits, min(rank) FILTER (WHERE grade >= 2) AS first, sum((2 ** grade - 1) / log2(rank + 1)) AS dcg FROM rk JOIN gr USING (query_id, job_id) GROUP BY rk.query_id) SELECT i.query_id, round(coalesce(hits, 0) / 10, 6) AS precision_at_k, round(CASE WHEN n_rel = 0 THEN 0 ELSE coalesce(hits, 0) / n_rel END, 6) AS recall_at_k_pooled, round(coalesce(1 / first, 0), 6) AS mrr, round(coalesce(dcg, 0) / idcg, 6) AS ndcg_at_k FROM idl i LEFT JOIN got USING (query_id)")
 def ranking_metrics_graded(spark, d):
     """Grades from the number of common skills, at most 3."""
-    q, s = _gold_queries(spark, d), side(spark, d)
-    grades = q.select("query_id", F.explode("candidate_skill_ids").alias("x")).join(s.select("job_id", F.explode("skill_ids").alias("x")), "x").groupBy("query_id", "job_id").agg(F.least(F.lit(3), F.count(F.lit(1))).alias("grade"))
-    r = evaluation.graded_ranking(matching.rank_queries(q, s, 10), grades, 10)
+    rows = matching.answered(_gold_queries(spark, d), side(spark, d), 10, grades=True).filter("n1 > 0")
+    top = F.transform("best", lambda x, i: F.struct((i + 1).alias("rank"), F.least(F.lit(3), x["m"]).alias("grade")))
+    r = evaluation.graded_scores(rows.withColumn("top", top), 10)
     return r.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision_at_k", "recall_at_k_pooled", "mrr", "ndcg_at_k")])
 
 
