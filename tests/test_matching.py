@@ -246,6 +246,10 @@ def test_resampled_means_are_those_of_pythons_generator():
     assert evaluation.mean_intervals(rows, 7) == [(sum(a for a, _ in rows) / 50, means[25], means[974]), (1.0, 1.0, 1.0)]
 
 
+def test_ranking_macro_means_has_no_table_of_pairs(spark, shared):
+    assert tuple(_in_few_rows(spark, shared, "ranking_macro_means")[0]) == (700, 0.1, 1.0, 1.0, 1.0)
+
+
 def test_ranking_metrics_graded_has_no_table_of_pairs(spark, shared):
     rows = _in_few_rows(spark, shared, "ranking_metrics_graded")
     assert len(rows) == 700 and all(r["precision_at_k"] == 1 and r["mrr"] == 1 for r in rows)
